@@ -38,6 +38,7 @@ class Facts(NamedTuple):
     monthly: DataFrame  # (month_start, product_code) sums and maxima
     abc: DataFrame  # (jalali_month, product_code) classes
     products: DataFrame  # product_code, product_name
+    bounds: DataFrame  # winsor fences per product
 
 
 def sales_cells(prepared: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def facts(prepared: DataFrame, cfg: Config) -> Facts:
     weight = F.col("n")
     abc = cut_lineage(classify(monthly_consumption(treated, F.col("qty") * weight, weight), cfg))
     monthly = cut_lineage(product_month_facts(treated, abc))
-    return Facts(monthly, abc, product_names(cells))
+    return Facts(monthly, abc, cut_lineage(product_names(cells)), bounds)
 
 
 def month_bounds(monthly: DataFrame) -> tuple[datetime.date, datetime.date]:

@@ -179,3 +179,305 @@ def chain(upto: str, variant: str = "plain", labels: bool = False) -> list[str]:
     }
     names = list(steps)
     return [steps[n] for n in names[: names.index(upto) + 1]]
+
+
+def query(upto: str, body: str, variant: str = "plain", labels: bool = False, extra=()) -> str:
+    return with_(*chain(upto, variant, labels), *extra) + body
+
+
+LABELS = (
+    "doc_type", "status", "product_nature", "unit", "warehouse", "counterparty",
+    "consumption_location",
+)
+
+DICTIONARY = (
+    "pairs AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS label, {c} AS value, gregorian_date AS d, l_orderkey, l_linenumber "
+        "FROM tx"
+        for c in LABELS
+    )
+    + """),
+    dictionary AS (
+        SELECT label, value, CAST(row_number() OVER (
+            PARTITION BY label ORDER BY min(row(d, l_orderkey, l_linenumber)), value) - 1
+            AS INTEGER) AS code, count(*) AS n
+        FROM pairs GROUP BY label, value)"""
+)
+
+SPLIT = """span2 AS (SELECT lo, datediff('month', lo, hi) + 1 AS n FROM span),
+    marked AS (
+        SELECT panel.*, datediff('month', lo, month_start) AS ix, n * 4 // 5 AS n_train,
+            CASE WHEN datediff('month', lo, month_start) < n * 4 // 5
+                 THEN 'train' ELSE 'test' END AS split
+        FROM panel, span2)"""
+
+METRICS = ", ".join(
+    f"{r(body, 4)} AS {name}"
+    for name, body in {
+        "MAE": "avg(abs(target - lag_1))",
+        "MSE": "avg((target - lag_1) * (target - lag_1))",
+        "RMSE": "sqrt(avg((target - lag_1) * (target - lag_1)))",
+        "MAPE": "avg(abs((target - lag_1) / CASE WHEN target = 0 THEN 1 ELSE target END)) * 100",
+    }.items()
+)
+
+CORR = (
+    "corr_scores AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS Feature, {r(f'coalesce(abs(corr(CAST({c} AS DOUBLE), target)), 0)', 4)}"
+        " AS Correlation_Abs FROM panel"
+        for c in FEATURES
+    )
+    + ")"
+)
+
+MI = (
+    "longform AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS name, product_code, month_start, CAST({c} AS DOUBLE) AS v FROM panel"
+        for c in (*FEATURES, "target")
+    )
+    + f"""),
+    sorted AS (
+        SELECT name, v, row_number() OVER (PARTITION BY name ORDER BY v) AS rn,
+            count(*) OVER (PARTITION BY name) AS n FROM longform),
+    borders AS (
+        SELECT DISTINCT name, v AS b FROM sorted, generate_series(1, 9) g(i)
+        WHERE rn = (n * i + 9) // 10),
+    binned AS (
+        SELECT l.name, l.product_code, l.month_start, count(b) AS bin
+        FROM longform l LEFT JOIN borders ON l.name = borders.name AND l.v >= b GROUP BY ALL),
+    joint AS (
+        SELECT x.name AS Feature, x.bin AS bx, y.bin AS by_, count(*) AS nxy
+        FROM binned x JOIN binned y USING (product_code, month_start)
+        WHERE y.name = 'target' AND x.name <> 'target' GROUP BY ALL),
+    margins AS (
+        SELECT *, sum(nxy) OVER (PARTITION BY Feature) AS n,
+            sum(nxy) OVER (PARTITION BY Feature, bx) AS nx,
+            sum(nxy) OVER (PARTITION BY Feature, by_) AS ny FROM joint),
+    mi_scores AS (
+        SELECT Feature, {r('sum(nxy / n * ln(nxy * n / (nx * ny)))', 4)} AS Mutual_Information
+        FROM margins GROUP BY Feature)"""
+)
+
+LIVE = """live AS (
+        SELECT product_code, sum(original_target) AS total, count(*) AS rows
+        FROM panel GROUP BY product_code HAVING sum(original_target) > 0)"""
+
+LAST = """lastrow AS (
+        SELECT panel.* FROM panel JOIN live USING (product_code), span
+        WHERE month_start = hi)"""
+
+ROLL = (
+    LIVE
+    + ",\n    "
+    + LAST
+    + """,
+    steps AS (
+        SELECT product_code, product_name, 0 AS horizon, lag_2 AS a, lag_1 AS b, target AS c
+        FROM lastrow
+        UNION ALL
+        SELECT product_code, product_name, horizon + 1, b, c, greatest((a + b + c) / 3, 0)
+        FROM steps WHERE horizon < 6),
+    ahead AS (
+        SELECT product_code, product_name, horizon, c AS forecast,
+            CAST(hi + to_months(CAST(horizon AS INTEGER)) AS DATE) AS ds
+        FROM steps, span WHERE horizon > 0),
+    """
+    + jalali("ahead", "ds", "jahead")
+    + """,
+    forecasts AS (
+        SELECT product_code, product_name, ds, format('{:04d}/{:02d}', jy, jm) AS jalali_month,
+            horizon, forecast, 'Rolling Mean' AS Model FROM jahead)"""
+)
+
+SHEET = jalali("(SELECT month_start, sum(target) AS y FROM panel GROUP BY ALL)", "month_start", "jt")
+
+MINMAX_COLUMNS = ("lag_1", "rolling_mean_3", "target", "g_month")
+
+
+def scaled_cte() -> str:
+    bounds = ", ".join(
+        f"min({c}) FILTER (split = 'train') AS lo_{c}, max({c}) FILTER (split = 'train') AS hi_{c}"
+        for c in MINMAX_COLUMNS
+    )
+    values = ", ".join(
+        f"(m.{c} - lo_{c}) / CASE WHEN hi_{c} > lo_{c} THEN CAST(hi_{c} - lo_{c} AS DOUBLE) "
+        f"ELSE 1 END AS scaled_{c}"
+        for c in MINMAX_COLUMNS
+    )
+    return f"""train_bounds AS (SELECT product_code, {bounds} FROM marked GROUP BY product_code),
+    scaled AS (
+        SELECT m.product_code, m.month_start, m.split, m.ix, m.n_train, {values}
+        FROM marked m JOIN train_bounds USING (product_code))"""
+
+
+TX_KEYS = "product_code, gregorian_date, original_qty, qty"
+ROUNDED_PANEL = (
+    f"SELECT * REPLACE ({r('rolling_mean_3', 6)} AS rolling_mean_3, "
+    f"{r('rolling_std_3', 6)} AS rolling_std_3) FROM panel"
+)
+DROP_KEYS = "EXCLUDE (l_orderkey, l_linenumber)"
+CODED = "SELECT t.* REPLACE (" + ", ".join(f"d_{c}.code AS {c}" for c in LABELS) + ")"
+CODE_JOINS = " ".join(
+    f"JOIN dictionary d_{c} ON d_{c}.label = '{c}' AND d_{c}.value = t.{c}" for c in LABELS
+)
+
+ORACLE: dict[str, str] = {
+    "digits_numeric": """
+        SELECT l_orderkey, l_linenumber,
+            CASE WHEN l_linenumber = 7 THEN t || 'd' ELSE ' ' || t END AS digits,
+            CASE WHEN l_linenumber = 7 THEN NULL
+                 ELSE CAST(replace(t, ',', '') AS DOUBLE) END AS value
+        FROM (SELECT l_orderkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS t
+              FROM lineitem)""",
+    "label_codes": with_(tx(labels=True), DICTIONARY) + "SELECT * FROM dictionary",
+    "clean_transactions": with_(tx(labels=True), DICTIONARY)
+    + CODED.replace("t.*", "l_orderkey, product_code, product_name, qty, ").replace(
+        " REPLACE (", ""
+    )[:-1]
+    + f" FROM tx t {CODE_JOINS}",
+    "jalali_dates": query(
+        "dated",
+        """SELECT product_code, jalali_date, gregorian_date, jalali_year, jalali_month,
+            jalali_month_name, jalali_day, jalali_season, g_year, g_month, g_day, g_weekday,
+            month_start FROM dated""",
+    ),
+    "month_features": with_(
+        *chain("dated"),
+        """span AS (SELECT min(month_start) AS lo, max(month_start) AS hi FROM dated),
+    every AS (
+        SELECT CAST(unnest(generate_series(lo, hi + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS DATE)
+            AS month_start, hi FROM span)""",
+        jalali("every", "month_start", "j"),
+    )
+    + f"""SELECT month_start, format('{{:04d}}/{{:02d}}', jy, jm) AS jalali_month,
+        {MONTHS}[jm] AS jalali_month_name, CAST((jm - 1) // 3 + 1 AS INTEGER) AS jalali_season,
+        jy AS jalali_year, month_start > hi AS is_future FROM j""",
+    "working_day_calendar": with_(CALENDAR)
+    + "SELECT cal_date AS gregorian_date, CAST(wd AS INTEGER) AS working_day FROM cal",
+    "working_day_join": query(
+        "dated", "SELECT product_code, qty, gregorian_date, working_day FROM dated"
+    ),
+    "quantity_bounds": query(
+        "treated",
+        f"""SELECT product_code, n, {r('q1 - 1.5 * (q3 - q1)', 6)} AS low,
+            {r('q3 + 1.5 * (q3 - q1)', 6)} AS high FROM own""",
+    ),
+    "winsorized_qty": query("treated", f"SELECT {TX_KEYS} FROM treated"),
+    "winsorized_small_groups": query("treated", f"SELECT {TX_KEYS} FROM treated", "recent"),
+    "winsorized_returns": query("treated", f"SELECT {TX_KEYS} FROM treated", "returns"),
+    "monthly_consumption": query("abc", "SELECT * FROM monthly"),
+    "abc_monthly": query("abc", "SELECT * FROM abc"),
+    "abc_monthly_returns": query("abc", "SELECT * FROM abc", "returns"),
+    "abc_enriched": query("enriched", f"SELECT * {DROP_KEYS} FROM enriched"),
+    "abc_export": query(
+        "enriched",
+        """SELECT DISTINCT jalali_month, month_start, product_code, abc_class, month_rank,
+            month_qty, month_txn_count, share_pct, cum_pct FROM enriched""",
+    ),
+    "bi_export": query(
+        "enriched",
+        f"SELECT * {DROP_KEYS} FROM ({CODED} FROM enriched t {CODE_JOINS})",
+        labels=True,
+        extra=(DICTIONARY,),
+    ),
+    "panel_grid": query("grid", "SELECT * FROM grid"),
+    "panel_agg": query("agg", "SELECT * FROM agg"),
+    "panel_full": query("panel", ROUNDED_PANEL),
+    "panel_returns": query("panel", ROUNDED_PANEL, "returns"),
+    "panel_lags": query(
+        "panel", "SELECT product_code, month_start, target, lag_1, lag_2, lag_3 FROM panel"
+    ),
+    "panel_rolling": query(
+        "panel",
+        "SELECT product_code, month_start, target, rolling_mean_3, rolling_std_3 "
+        f"FROM ({ROUNDED_PANEL})",
+    ),
+    "total_series": query(
+        "panel", "SELECT month_start, sum(target) AS y FROM panel GROUP BY ALL ORDER BY 1"
+    ),
+    "time_split": query(
+        "panel",
+        "SELECT split, month_start, count(*) AS rows, sum(target) AS target "
+        "FROM marked GROUP BY ALL",
+        extra=(SPLIT,),
+    ),
+    "cv_folds": query(
+        "panel",
+        """SELECT product_code, month_start, CAST(CASE
+                WHEN pos < (n % 3) * (n // 3 + 1) THEN pos // (n // 3 + 1)
+                ELSE n % 3 + (pos - (n % 3) * (n // 3 + 1)) // (n // 3) END AS INTEGER) AS fold
+            FROM (SELECT product_code, month_start, count(*) OVER () AS n,
+                    row_number() OVER (ORDER BY product_code, month_start) - 1 AS pos
+                  FROM marked WHERE split = 'train')""",
+        extra=(SPLIT,),
+    ),
+    "feature_corr": query("panel", "SELECT * FROM corr_scores", extra=(CORR,)),
+    "feature_mi": query("panel", "SELECT * FROM mi_scores", extra=(MI,)),
+    "top_features": query(
+        "panel",
+        """SELECT * FROM corr_scores JOIN mi_scores USING (Feature)
+            ORDER BY Mutual_Information DESC, Feature LIMIT 10""",
+        extra=(CORR, MI),
+    ),
+    "naive_eval": query(
+        "panel", f"SELECT {METRICS} FROM marked WHERE split = 'test'", extra=(SPLIT,)
+    ),
+    "naive_eval_by_product": query(
+        "panel",
+        f"SELECT product_code, {METRICS} FROM marked WHERE split = 'test' GROUP BY product_code",
+        extra=(SPLIT,),
+    ),
+    "live_products": query("panel", "SELECT * FROM live", "returns", extra=(LIVE,)),
+    "last_state": query(
+        "panel",
+        """SELECT product_code, product_name, CAST(month_txn_count AS DOUBLE) AS month_txn_count,
+            CAST(abc_encoded AS DOUBLE) AS abc_encoded, lag_2 AS target_0, lag_1 AS target_1,
+            target AS target_2 FROM lastrow""",
+        "returns",
+        extra=(LIVE, LAST),
+    ),
+    "recursive_mean_forecast": query(
+        "panel",
+        f"SELECT * REPLACE ({r('forecast', 6)} AS forecast) FROM forecasts",
+        "returns",
+        extra=(ROLL,),
+    ),
+    "total_forecast_sheet": query(
+        "panel",
+        f"""SELECT "Persian Month", "Model Name", {r('v', 4)} AS "Forecasting Value" FROM (
+            SELECT format('{{:04d}}/{{:02d}}', jy, jm) AS "Persian Month",
+                'Actual' AS "Model Name", y AS v FROM jt WHERE jy >= 1379
+            UNION ALL
+            SELECT jalali_month, Model, sum(forecast) FROM forecasts
+            GROUP BY jalali_month, Model)
+        ORDER BY 2, 1""",
+        extra=(ROLL, SHEET),
+    ),
+    "product_sheet": query(
+        "panel",
+        f"""SELECT product_code, product_name, ds AS month_start, jalali_month,
+            Model AS "Model Name", {r('forecast', 6)} AS "Forecasting Value", horizon
+            FROM forecasts""",
+        extra=(ROLL,),
+    ),
+    "minmax_scaled": query(
+        "panel",
+        "SELECT product_code, month_start, split, "
+        + ", ".join(f"{r(f'scaled_{c}', 6)} AS scaled_{c}" for c in MINMAX_COLUMNS[:3])
+        + " FROM scaled",
+        extra=(SPLIT, scaled_cte()),
+    ),
+    "sequences": query(
+        "panel",
+        f"""SELECT y.product_code, y.month_start, y.split, {r('y.scaled_target', 6)} AS label,
+            CAST(3 - (y.ix - x.ix) AS INTEGER) AS pos, {r('x.scaled_lag_1', 6)} AS lag_1,
+            {r('x.scaled_g_month', 6)} AS g_month
+            FROM scaled y JOIN scaled x ON x.product_code = y.product_code
+                AND x.split = y.split AND x.ix BETWEEN y.ix - 3 AND y.ix - 1
+            WHERE y.ix >= 3 AND (y.split = 'train' OR y.ix >= y.n_train + 3)""",
+        extra=(SPLIT, scaled_cte()),
+    ),
+}
