@@ -273,7 +273,7 @@ def last_state(spark, sf):
     rows = forecast.last_state(panel, ["month_txn_count", "abc_encoded"])
     return rows.select(
         "product_code", "product_name", "month_txn_count", "abc_encoded",
-        *[F.col("recent")[i].alias(f"target_{i}") for i in range(3)],
+        *[F.col(forecast.past(i)).alias(f"target_{i}") for i in range(3)],
     )
 
 
