@@ -17,7 +17,7 @@ from anbar.models import sequence, series, tree
 from anbar.operators import abc, cleaning, features, forecast, metrics, outliers, report, split
 from anbar.operators import panel as panels
 from anbar.plans import run as whole
-from anbar.plans.session import ensure_checkpoint_dir
+from anbar.plans.session import cut_lineage, ensure_checkpoint_dir
 from anbar.sources import stock_view
 from anbar.sources.sinks import write_bi_export
 from anbar.sources.tables import parse_working_days
@@ -70,6 +70,13 @@ def cached(spark, sf) -> tuple[panels.Panel, list[str], panels.Facts]:
     return panel, names, f
 
 
+def finished(panel: panels.Panel, result: DataFrame) -> DataFrame:
+    """Keep the (small) result, give the panel's cache back."""
+    kept = cut_lineage(result)
+    panel.frame.unpersist()
+    return kept
+
+
 # --- cleaning and calendar --------------------------------------------------
 
 
@@ -243,11 +250,11 @@ def feature_mi(spark, sf):
 
 def top_features(spark, sf):
     panel, names = featured(build(spark, sf))
-    frame = panel.frame.persist()
-    scores = features.correlations(frame, names).join(
-        features.mutual_information(frame, names, CFG), "Feature"
+    panel = panel._replace(frame=panel.frame.persist())
+    scores = features.correlations(panel.frame, names).join(
+        features.mutual_information(panel.frame, names, CFG), "Feature"
     )
-    return features.top_features(scores, CFG)
+    return finished(panel, features.top_features(scores, CFG))
 
 
 def naive_eval(spark, sf):
@@ -339,8 +346,9 @@ def grid_eval(code):
     def query(spark, sf):
         panel, model = fitted(code, spark, sf)
         _, test = split.split_panel(panel, SMALL)
-        return metrics.model_row(
-            model.transform(test), "target", "prediction", MODEL_NAMES[code]
+        scores = model.transform(test)
+        return finished(
+            panel, metrics.model_row(scores, "target", "prediction", MODEL_NAMES[code])
         )
 
     return query
@@ -348,25 +356,28 @@ def grid_eval(code):
 
 def tree_forecast(spark, sf):
     panel, model = fitted("rf", spark, sf)
-    return forecast.recursive_forecast(panel, tree.predictor(model), MODEL_NAMES["rf"], SMALL)
+    rows = forecast.recursive_forecast(panel, tree.predictor(model), MODEL_NAMES["rf"], SMALL)
+    return finished(panel, rows)
 
 
 def series_forecast(code, keys=()):
     def query(spark, sf):
-        result = series.forecast_series(build(spark, sf), code, MODEL_NAMES[code], SMALL, keys)
-        return result.forecasts
+        panel, _, _ = cached(spark, sf)
+        result = series.forecast_series(panel, code, MODEL_NAMES[code], SMALL, keys)
+        return finished(panel, result.forecasts)
 
     return query
 
 
 def seq_forecast(spark, sf):
     panel, names, _ = cached(spark, sf)
-    return sequence.forecast_sequences(panel, names, MODEL_NAMES["seq"], SMALL).forecasts
+    result = sequence.forecast_sequences(panel, names, MODEL_NAMES["seq"], SMALL)
+    return finished(panel, result.forecasts)
 
 
 def importance_table(spark, sf):
     panel, names, _ = cached(spark, sf)
-    return tree.importance_table(panel.frame, names, SMALL)
+    return finished(panel, tree.importance_table(panel.frame, names, SMALL))
 
 
 def model_evaluation(spark, sf):
