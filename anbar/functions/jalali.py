@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anbar.config import JALALI_MONTH_NAMES
+from anbar.config import ARABIC_DIGITS, JALALI_MONTH_NAMES, PERSIAN_DIGITS
 from anbar.functions.numbers import int_div
 from anbar.functions.text import ascii_digits, strip
 
@@ -40,11 +40,11 @@ def day_number(j: JalaliDay) -> Column:
 
 def is_valid(j: JalaliDay, years: tuple[int, int]) -> Column:
     leap = (j.year % 33).isin(*LEAP_REMAINDERS)
-    days = [F.lit(31)] * 6 + [F.lit(30)] * 5 + [F.when(leap, 30).otherwise(29)]
-    month_days = F.get(F.array(*days), j.month - 1)
-    return F.coalesce(
-        j.year.between(*years) & (j.day >= 1) & (j.day <= month_days), F.lit(False)
+    month_days = (
+        F.when(j.month <= 6, 31).when(j.month <= 11, 30).when(leap, 30).otherwise(29)
     )
+    fits = j.month.between(1, 12) & (j.day >= 1) & (j.day <= month_days)
+    return F.coalesce(j.year.between(*years) & fits, F.lit(False))
 
 
 def to_gregorian(j: JalaliDay) -> Column:
@@ -86,40 +86,64 @@ def with_jalali(df: DataFrame, date: str, prefix: str) -> DataFrame:
     ).drop(since, cycle, four, rest, leap)
 
 
+# The usual form, ten characters with any digit set.
+ANY_DIGIT = f"[0-9{PERSIAN_DIGITS}{ARABIC_DIGITS}]"
+FIXED_TEXT = rf"^{ANY_DIGIT}{{4}}([/.-]){ANY_DIGIT}{{2}}\1{ANY_DIGIT}{{2}}$"
 # Three whole numbers, twice the same separator, then nothing or a space and anything.
 DATE_TEXT = r"(?s)^[\t-\r]*\+?\d+[\t-\r]*([/.-])[\t-\r]*\+?\d+[\t-\r]*\1[\t-\r]*\+?\d+(\s.*)?$"
 
 
 def with_parsed(df: DataFrame, text: str, prefix: str, years: tuple[int, int]) -> DataFrame:
-    """Add ``<prefix>y/m/d`` from a date text, null unless it is a valid day.
+    """Add ``<prefix>y/m/d`` from a date text, null unless it is a valid day, and
+    ``<prefix>text``, the trimmed text with plain digits.
 
     Read is the text up to the first space, digits of any set, parts separated by ``/``,
-    ``-`` or ``.``. The result is bound by a one-row generator: a later "is not null"
-    filter would otherwise be pushed below and parse every text a second time.
+    ``-`` or ``.``. Ten-character texts, nearly all in practice, are cut by position; the
+    others are trimmed and split. The result is bound by a one-row generator: a later
+    "is not null" filter would otherwise be pushed below and parse every text again.
     """
-    clean, parts, ok = f"__{prefix}text", f"__{prefix}parts", f"__{prefix}ok"
+    source, fixed, clean, sep, ok = (
+        f"__{prefix}{n}" for n in ("source", "fixed", "text", "sep", "ok")
+    )
     raw = [f"__{prefix}{n}" for n in "ymd"]
-    pieces = F.split(F.substring_index(F.col(clean), " ", 1), "[/.-]")
-    staged = (
-        df.withColumn(clean, ascii_digits(strip(F.col(text).cast("string"))))
-        .withColumn(parts, F.when(F.col(clean).rlike(DATE_TEXT), pieces))
-        .withColumns(
-            {c: strip(F.get(F.col(parts), i)).try_cast("int") for i, c in enumerate(raw)}
+    t, is_fixed = F.col(clean), F.col(fixed)
+    kind = F.when(F.contains(t, F.lit("/")), "/").when(F.contains(t, F.lit("-")), "-")
+    head = F.substring_index(t, " ", 1)
+    spans = ((1, 4), (6, 2), (9, 2))
+    pieces = [
+        F.when(is_fixed, F.substring(t, *span)).when(
+            F.col(sep).isNotNull(), F.split_part(head, F.col(sep), F.lit(i))
         )
+        for i, span in enumerate(spans, start=1)
+    ]
+    staged = (
+        df.withColumn(source, F.col(text).cast("string"))
+        .withColumn(fixed, F.col(source).rlike(FIXED_TEXT))
+        .withColumn(source, F.when(is_fixed, F.col(source)).otherwise(strip(F.col(source))))
+        .withColumn(clean, ascii_digits(F.col(source)))
+        .withColumn(sep, F.when(~is_fixed & t.rlike(DATE_TEXT), kind.otherwise(".")))
+        .withColumns({c: piece.try_cast("int") for c, piece in zip(raw, pieces, strict=True)})
         .withColumn(ok, is_valid(JalaliDay(*[F.col(c) for c in raw]), years))
     )
     checked = [
         F.when(F.col(ok), F.col(c)).alias(f"{prefix}{n}")
         for n, c in zip("ymd", raw, strict=True)
     ]
-    return staged.select(*df.columns, F.inline(F.array(F.struct(*checked))))
+    bound = F.inline(F.array(F.struct(*checked, t.alias(f"{prefix}text"))))
+    return staged.select(*df.columns, bound)
 
 
 def month_key(j: JalaliDay) -> Column:
-    """Sortable ``YYYY/MM``."""
-    return F.concat_ws(
-        "/", F.lpad(j.year.cast("string"), 4, "0"), F.lpad(j.month.cast("string"), 2, "0")
-    )
+    """Sortable ``YYYY/MM``; years have four digits."""
+    digits = (j.year * 100 + j.month).cast("string")
+    return F.concat(F.substring(digits, 1, 4), F.lit("/"), F.substring(digits, 5, 2))
+
+
+def day_key(j: JalaliDay) -> Column:
+    """``YYYY/MM/DD``."""
+    digits = (j.year * 10000 + j.month * 100 + j.day).cast("string")
+    parts = [F.substring(digits, *span) for span in ((1, 4), (5, 2), (7, 2))]
+    return F.concat(parts[0], F.lit("/"), parts[1], F.lit("/"), parts[2])
 
 
 def month_name(month: Column) -> Column:

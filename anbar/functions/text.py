@@ -22,8 +22,10 @@ def strip(c: Column) -> Column:
 
 
 def ascii_digits(c: Column) -> Column:
-    """Persian and Arabic-Indic digits become 0-9."""
-    return F.translate(c, PERSIAN_DIGITS + ARABIC_DIGITS, "0123456789" * 2)
+    """Persian and Arabic-Indic digits become 0-9. A text whose bytes and characters
+    are equally many has none of them and is taken as it is."""
+    translated = F.translate(c, PERSIAN_DIGITS + ARABIC_DIGITS, "0123456789" * 2)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(translated)
 
 
 def persian_digits(c: Column) -> Column:

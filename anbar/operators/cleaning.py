@@ -16,7 +16,7 @@ from anbar.config import (
 )
 from anbar.functions import jalali
 from anbar.functions.numbers import is_integral
-from anbar.functions.text import ascii_digits, number, strip
+from anbar.functions.text import number, strip
 from anbar.operators.joins import join_counted
 from anbar.operators.prefix import running_totals
 from anbar.plans.session import cut_lineage
@@ -132,22 +132,21 @@ def clean_transactions(raw: DataFrame, cfg: Config) -> tuple[DataFrame, DataFram
 def add_dates(df: DataFrame, cfg: Config) -> DataFrame:
     """Both calendars' parts from the Jalali date text; bad dates give nulls."""
     j = jalali.JalaliDay(F.col("__jy"), F.col("__jm"), F.col("__jd"))
-    text = ascii_digits(strip(F.col("jalali_date").cast("string")))
     date = F.col("gregorian_date")
     return (
         jalali.with_parsed(df, "jalali_date", "__j", cfg.jalali_years)
         .withColumns(
             {
-                "jalali_date": text,
+                "jalali_date": F.col("__jtext"),
                 "gregorian_date": jalali.to_gregorian(j),
                 "jalali_year": j.year,
-                "jalali_month": F.when(j.year.isNotNull(), jalali.month_key(j)),
+                "jalali_month": jalali.month_key(j),
                 "jalali_month_name": jalali.month_name(j.month),
                 "jalali_day": j.day,
                 "jalali_season": jalali.season(j.month),
             }
         )
-        .drop("__jy", "__jm", "__jd")
+        .drop("__jy", "__jm", "__jd", "__jtext")
         .withColumns(
             {
                 "g_year": F.year(date),
@@ -170,14 +169,14 @@ def add_working_days(df: DataFrame, calendar: DataFrame, cfg: Config) -> DataFra
     """Working-day flag of each date; a date missing from the calendar counts as 0.
 
     The calendar is reduced to one row per day inside the accepted Jalali years, at most
-    about 366 rows per year, which bounds what is broadcast.
+    366 rows per year, which bounds what is broadcast.
     """
     low, high = cfg.jalali_years
-    days = (
-        calendar.where(F.year("gregorian_date").between(low + 621, high + 622))
-        .groupBy("gregorian_date")
-        .agg(F.max(F.col("working_day").cast("int")).alias("working_day"))
+    days = calendar.groupBy("gregorian_date").agg(
+        F.max(F.col("working_day").cast("int")).alias("working_day")
     )
+    # Written first: the year test would otherwise be repeated on every calendar row.
+    days = cut_lineage(days).where(F.year("gregorian_date").between(low + 621, high + 622))
     joined = df.join(F.broadcast(days), "gregorian_date", "left")
     flag = F.coalesce(F.col("working_day"), F.lit(0))
     return joined.select(*df.columns, flag.alias("working_day"))

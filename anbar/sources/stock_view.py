@@ -36,9 +36,7 @@ def raw_transactions(
     part_columns = [F.col("p_name").alias("product_name")]
     lines = jalali.with_jalali(lines.withColumn("day", F.to_date("l_shipdate")), "day", "j")
     j = jalali.JalaliDay(F.col("jy"), F.col("jm"), F.col("jd"))
-    lines = lines.withColumn(
-        "text", F.concat_ws("/", jalali.month_key(j), F.lpad(j.day.cast("string"), 2, "0"))
-    )
+    lines = lines.withColumn("text", jalali.day_key(j))
     text = F.when(F.col("l_linenumber") % 2 == 0, persian_digits(F.col("text"))).otherwise(
         F.col("text")
     )
