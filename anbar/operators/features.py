@@ -38,10 +38,17 @@ def unpivot(df: DataFrame, columns: list[str], name: str, value: str) -> DataFra
 
 
 def correlations(features: DataFrame, candidates: list[str], target: str = "target") -> DataFrame:
-    """(Feature, Correlation_Abs): one aggregate over all candidates."""
-    wide = features.agg(
-        *[F.abs(F.corr(F.col(c), F.col(target).cast("double"))).alias(c) for c in candidates]
-    )
+    """(Feature, Correlation_Abs): one aggregate over all candidates.
+
+    From covariance and deviations, because ``corr`` raises on a constant column.
+    """
+    y = F.col(target).cast("double")
+
+    def strength(c: str):
+        spread = F.stddev_pop(F.col(c)) * F.stddev_pop(y)
+        return F.abs(F.try_divide(F.covar_pop(F.col(c), y), spread)).alias(c)
+
+    wide = features.agg(*[strength(c) for c in candidates])
     value = F.col("value")
     return unpivot(wide, candidates, "Feature", "value").select(
         "Feature",
