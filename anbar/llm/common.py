@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from anbar.plans.session import ensure_checkpoint_dir
 
@@ -37,3 +41,95 @@ def word_count(text: Column) -> Column:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows: the check before a broadcast."""
     return df.limit(rows + 1).count() <= rows
+
+
+ARROW = {
+    T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(),
+    T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary(),
+}
+
+
+def arrow_batch(columns: list, fields: T.StructType) -> pa.RecordBatch:
+    """A record batch of Python sequences or arrays, one per field."""
+    arrays = [
+        c if isinstance(c, pa.Array) else pa.array(c, ARROW[type(f.dataType)])
+        for c, f in zip(columns, fields, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=fields.names)
+
+
+def per_text(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    fields: str,
+    rows: Callable[[list[str | None]], Iterable[tuple]],
+) -> DataFrame:
+    """The key and ``fields`` of each document; ``rows`` maps texts to tuples, in order.
+
+    The key stays an Arrow column, so null and large ids pass unchanged.
+    """
+    made = T.StructType.fromDDL(fields)
+    schema = T.StructType([docs.schema[key], *made])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = list(rows(batch.column(1).to_pylist()))
+            columns = list(zip(*done, strict=True)) if done else [[] for _ in made]
+            arrays = [batch.column(0)] + list(arrow_batch([list(c) for c in columns], made).columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return docs.select(docs[key], docs[text]).mapInArrow(mapped, schema)
+
+
+def task_sums(
+    rows: DataFrame,
+    vector: Callable[[Iterator[pa.RecordBatch]], np.ndarray],
+    size: int,
+    block: int = 4096,
+    fan_in: int = 64,
+) -> np.ndarray:
+    """Sum over all tasks of ``vector(batches of the task)``, ``size`` float64 values.
+
+    A task gives its vector away in blocks, and the blocks are added in groups of at most
+    ``fan_in`` tasks, level by level. Only the sum, whose size is fixed, reaches the driver.
+    """
+    blocks = -(-size // block)
+    schema = "block int, part long, data binary"
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        mine = np.zeros(blocks * block)
+        mine[:size] = vector(batches)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(blocks), pa.int32()),
+                pa.array([part] * blocks, pa.int64()),
+                pa.array([x.tobytes() for x in mine.reshape(blocks, block)], pa.binary()),
+            ],
+            names=["block", "part", "data"],
+        )
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.zeros(block)
+        # A fixed order of the summands makes reruns agree.
+        for value in group.sort_by("part")["data"]:
+            total += np.frombuffer(value.as_buffer())
+        return pa.table(
+            {
+                "block": pa.array([group["block"][0].as_py()], pa.int32()),
+                "part": pa.array([group["next"][0].as_py()], pa.int64()),
+                "data": pa.array([total.tobytes()], pa.binary()),
+            }
+        )
+
+    level = written(rows.mapInArrow(given, schema))
+    while level.count() > blocks:
+        level = level.withColumn("next", F.floor(F.col("part") / fan_in).cast("long"))
+        level = written(level.groupBy("block", "next").applyInArrow(added, schema))
+    out = np.zeros(blocks * block)
+    for row in level.collect():
+        out[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["data"])
+    return out[:size]

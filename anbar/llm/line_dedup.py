@@ -121,7 +121,7 @@ def _near_removed(firsts: DataFrame, lines: DataFrame, min_chars: int, broadcast
     candidates = texts.groupBy("h1", "h2").agg(
         F.min(F.struct("id", "no")).alias("at"), F.min("line").alias("line")
     )
-    candidates = candidates.select("at.id", "at.no", "h1", "h2", "line")
+    candidates = written(candidates.select("at.id", "at.no", "h1", "h2", "line"))
     variants = written(_deletions(_shared(_blocks(candidates, min_chars), "key")))
     place = F.struct("id", "no", "inside")
     earliest = variants.groupBy("variant").agg(
@@ -185,22 +185,28 @@ def line_dedup(
     kept = kept_lines(docs, key, text, min_near_chars)
     kept = kept.select(F.col("id").alias("__id"), F.col("nos").alias("__nos"))
     joined = docs.join(kept, docs[key].eqNullSafe(kept["__id"]), "left")
-    parts = F.split(docs[text], "\n")
     numbered = F.transform(
-        parts, lambda raw, i: F.when(F.trim(raw, F.lit(BLANKS)) == "", i)
+        "__parts", lambda raw, i: F.when(F.trim(raw, F.lit(BLANKS)) == "", i)
     )
-    blanks = F.filter(numbered, lambda i: i.isNotNull())
     mine = F.coalesce("__nos", F.array().cast("array<int>"))
-    # A repeated id may have lines of its other rows in the list.
-    stay = F.array_sort(F.filter(mine, lambda i: i < F.size(parts)))
-    order = F.array_sort(F.concat(stay, blanks))
-    cleaned = F.array_join(F.transform(order, lambda i: F.get(parts, i)), "\n")
+    steps = {
+        "__parts": F.split(F.col(text), "\n"),
+        "__blanks": F.array_compact(numbered),
+        # A repeated id may have lines of its other rows in the list.
+        "__stay": F.filter(mine, lambda i: i < F.size("__parts")),
+        "__clean": F.array_join(
+            F.transform(F.array_sort(F.concat("__stay", "__blanks")), lambda i: F.get("__parts", i)),
+            "\n",
+        ),
+    }
+    for name, step in steps.items():  # one projection each, so that none is computed twice
+        joined = joined.withColumn(name, step)
     extra = {
-        "lines": F.coalesce(F.size(parts) - F.size(blanks), F.lit(0)).cast("long"),
-        "kept": F.when(docs[text].isNull(), 0).otherwise(F.size(stay)).cast("long"),
+        "lines": F.coalesce(F.size("__parts") - F.size("__blanks"), F.lit(0)).cast("long"),
+        "kept": F.when(F.col(text).isNull(), 0).otherwise(F.size("__stay")).cast("long"),
     }
     return joined.select(
-        *[cleaned.alias(c) if c == text else docs[c] for c in docs.columns],
+        *[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns],
         *[extra[k].alias(v) for k, v in (report or {}).items()],
     )
 

@@ -2,7 +2,33 @@
 
 from __future__ import annotations
 
-from anbar.llm import line_dedup
+from anbar.llm import (
+    chat,
+    embedding_dedup,
+    html_text,
+    line_dedup,
+    lm_score,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality,
+    secrets,
+)
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup}
-ORACLE = {"op1_line_dedup": line_dedup.SQL}
+QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_embedding_near_dedup": embedding_dedup.op2_embedding_near_dedup,
+    "op3_packing": packing.op3_packing,
+    "op4_chat": chat.op4_chat,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_minhash_near_dedup": minhash_dedup.op8_minhash_near_dedup,
+    "op9_lm_score": lm_score.op9_lm_score,
+    "op10_secrets": secrets.op10_secrets,
+}
+ORACLE = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op2_embedding_near_dedup": embedding_dedup.SQL,
+    "op4_chat": chat.SQL,
+}
