@@ -84,12 +84,12 @@ class Network(NamedTuple):
         back = (scores @ self.out.T) * (1 - hidden * hidden)
         self.out[...] -= rate / len(wanted) * (hidden.T @ scores)
         self.bias[...] -= rate / len(wanted) * scores.sum(axis=0)
-        # A word vector gets the whole step of its word; words are spread thinly over a batch.
+        # A word is in few contexts of a batch, so its vector gets the step of each, unaveraged.
         for j in range(2 * SIDE):
             rows = context[:, j]
             step = back * self.places[j]
             self.places[j] -= rate / len(wanted) * (back * self.words[rows]).sum(axis=0)
-            np.add.at(self.words, rows, -rate / 32 * step)
+            np.add.at(self.words, rows, -rate / 5 * step)
 
 
 class Vocabulary(NamedTuple):
@@ -152,7 +152,7 @@ def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def train_on(
     network: Network, vocabulary: Vocabulary, groups: Iterator[tuple[np.ndarray, np.ndarray]],
-    masked: float, rate: float, rng: np.random.Generator, batch: int = 256,
+    masked: float, rate: float, rng: np.random.Generator, batch: int = 64,
 ) -> int:
     """Train in place on a masked share of the words of each group; the words trained on."""
     trained = 0
@@ -171,7 +171,7 @@ def train_on(
 
 def train(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
-    rounds: int = 2, masked: float = 0.1, rate: float = 0.5, seed: int = 9,
+    rounds: int = 2, masked: float = 0.1, rate: float = 1.0, seed: int = 9,
 ) -> Network:
     """Rounds of local training over all documents and averaging of the weights."""
     network = Network.start(vocabulary.class_share, seed)

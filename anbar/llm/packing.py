@@ -173,7 +173,7 @@ def pieces(
     """
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *T.StructType.fromDDL(FIELDS)])
     if keep_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

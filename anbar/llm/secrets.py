@@ -52,7 +52,7 @@ PLACEHOLDERS = {
 _STRING = r'"(?:[^"\\\n]|\\.)*+"' + r"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 _NAME = r"[A-Za-z_$][\w$.-]*+"
 PAIR = re.compile(
-    rf"(?<![\w$.-])(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)\]?[ \t]*+"
+    rf"(?<![\w$.-])(?:--?)?(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)\]?[ \t]*+"
     rf"(?:(?::=|=>|=(?!=)|:(?!//))[ \t]*+|(?P<comma>,)[ \t]*+(?=[\"'`]))"
     rf"(?P<value>(?:{_STRING})(?:[ \t]*+\+[ \t]*+(?:{_STRING}))*+|[^\s\"'`,;(){{}}\[\]<>]++)",
     re.ASCII,

@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import numpy as np
+
+from anbar.llm import lm_score as lm
+
+
+def small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 50, lm.BUCKETS).astype(float)
+    vocabulary = lm.Vocabulary.of(counts)
+    return lm.Network.start(vocabulary.class_share, 1), vocabulary
+
+
+def test_probabilities_sum_to_one():
+    network, vocabulary = small_model()
+    context = np.array([[1, 2, 3, lm.PAD]])
+    logs = [network.log_classes(context, np.array([c]))[0] for c in range(lm.CLASSES)]
+    total = sum(np.exp(logs[c]) * np.exp(vocabulary.log_share[vocabulary.class_of == c]).sum() for c in range(lm.CLASSES))
+    assert abs(total - 1) < 1e-4
+
+
+def test_scores_equal_a_plain_sum():
+    network, vocabulary = small_model()
+    text = "one two  three two"
+    words, _ = lm.word_hashes([text])
+    b = (words >> np.uint64(64 - lm.BUCKET_BITS)).astype(int).tolist()
+    total = 0.0
+    for i, w in enumerate(b):
+        around = [b[i + s] if 0 <= i + s < len(b) else lm.PAD for s in lm.PLACES]
+        h = np.tanh(sum(network.words[c] * network.places[j] for j, c in enumerate(around)))
+        z = h @ network.out + network.bias
+        total += z[vocabulary.class_of[w]] - np.log(np.exp(z).sum()) + vocabulary.log_share[w]
+    rows = list(lm.score_texts(["", text, None, "x", text], network, vocabulary))
+    assert [r[0] for r in rows] == [0, 4, 0, 1, 4]
+    assert rows[0][1] is None and rows[2][2] is None
+    assert abs(rows[1][1] - total) < 1e-3 and rows[4][1] == rows[1][1]
+
+
+def test_learning_follows_the_gradient():
+    network, vocabulary = small_model()
+    rng = np.random.default_rng(2)
+    context = rng.integers(0, 50, (64, 4))
+    wanted = vocabulary.class_of[context[:, 1]]  # to be seen from the word to the left
+    before = network.log_classes(context, wanted).mean()
+    for _ in range(200):
+        network.learn(context, wanted, 1.0)
+    assert network.log_classes(context, wanted).mean() > before + 1
+
+
+def test_held_out_documents_are_better_than_without_context(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fit, held = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
+    vocabulary = lm.Vocabulary.of(lm.bucket_counts(fit))
+    network = lm.train(fit, vocabulary)
+    start = lm.Network.start(vocabulary.class_share, 9)._replace(out=np.zeros((lm.WIDTH, lm.CLASSES), np.float32))
+
+    def mean(model):
+        rows = lm.scored(held, model, vocabulary).where("n_words > 0").collect()
+        return sum(r["log_likelihood"] for r in rows) / sum(r["n_words"] for r in rows)
+
+    assert mean(network) > mean(start) + 0.15
+
+
+def test_edges(spark):
+    schema = "doc_id long, text string, n_words int, log_likelihood string"
+    rows = [(1, None), (2, ""), (3, "w " * 50_000), (3, "again"), (None, "lost id")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], schema)
+    out = lm.pseudo_likelihood(docs).collect()
+    assert len(out) == 5
+    assert {r["doc_id"] for r in out if r["mean_log_likelihood"] is None} == {1, 2}
+    assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
