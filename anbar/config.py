@@ -80,12 +80,6 @@ ABC_EXPORT_COLUMNS = (
     "month_qty", "month_txn_count", "share_pct", "cum_pct",
 )
 
-FEATURE_CANDIDATES = (
-    "working_day", "month_txn_count", "share_pct", "cum_pct", "month_rank",
-    "jalali_year", "jalali_season", "abc_encoded", "g_month",
-    "lag_1", "lag_2", "lag_3", "rolling_mean_3", "rolling_std_3",
-)
-
 MODEL_NAMES = {
     "rf": "Random Forest",
     "gbt": "Gradient Boosting",
@@ -122,7 +116,8 @@ class Config:
     folds: int = 3
     seq_length: int = 3
     report_from_year: int = 1404
-    jalali_years: tuple[int, int] = (1200, 1600)
+    # The years a timestamp with nanoseconds can hold.
+    jalali_years: tuple[int, int] = (1056, 1641)
     forecast_std_ddof: int = 0
     feature_scope: str = "panel"  # or "train": rank features on train months only
     seq_selection: str = "test"  # or "validation": tail of the train months
@@ -151,10 +146,12 @@ class Config:
         (20, 3, 0.1), (40, 4, 0.1), (60, 5, 0.05),
     )
 
-    # A lookup side up to this many rows is broadcast; a larger one is joined by
-    # shuffle, with only its hot keys (at most ``hot_slots`` rows) broadcast.
+    # A lookup side up to this many rows and bytes is broadcast; a larger one is joined by
+    # shuffle, with only its hot keys broadcast. Hot is a key that owns more than one part in
+    # ``hot_per_partition`` x shuffle partitions of all rows, so the bar follows the task size.
     broadcast_rows: int = 200_000
-    hot_slots: int = 1000
+    broadcast_bytes: int = 64 << 20
+    hot_per_partition: int = 4
 
 
 def model_codes(models) -> list[str]:

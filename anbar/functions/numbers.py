@@ -14,10 +14,6 @@ def half_even(c: Column, places: int = 0) -> Column:
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
-def clip(c: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(c, low), high)
-
-
 def floor_at_zero(c: Column) -> Column:
     return F.greatest(c, F.lit(0.0))
 

@@ -41,6 +41,20 @@ def number_from_text(c: Column) -> Column:
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
+def whole_number(c: Column, dtype: str) -> Column:
+    """BIGINT of a text or numeric column, exact for every BIGINT; null when not whole."""
+    if dtype in ("bigint", "int", "smallint", "tinyint"):
+        return c.cast("bigint")
+    if dtype.startswith("decimal"):
+        return F.when(c % F.lit(1) == F.lit(0), c.try_cast("bigint"))
+    value = number(c, dtype)
+    rounded = F.when(value % F.lit(1) == F.lit(0), value.try_cast("bigint"))
+    if dtype != "string":
+        return rounded
+    text = strip(F.replace(ascii_digits(c), F.lit(","), F.lit("")))
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).otherwise(rounded)
+
+
 def number(c: Column, dtype: str) -> Column:
     """DOUBLE of a text or numeric column; NaN counts as missing."""
     if dtype == "string":

@@ -87,6 +87,13 @@ def abc_export(enriched: DataFrame) -> DataFrame:
     return enriched.select(*[c for c in ABC_EXPORT_COLUMNS if c in enriched.columns]).distinct()
 
 
+def abc_sheet(months: DataFrame, abc: DataFrame) -> DataFrame:
+    """The same rows from (jalali_month, month_start, product_code), without another read of
+    the transactions. Both sides have a key at most twice, so none is hot."""
+    rows = months.join(abc, ["jalali_month", "product_code"])
+    return rows.select(*[c for c in ABC_EXPORT_COLUMNS if c in rows.columns])
+
+
 def class_code(abc_class: Column) -> Column:
     code = None
     for name, value in ABC_CODES.items():

@@ -16,8 +16,8 @@ from anbar.config import (
 )
 from anbar.functions import jalali
 from anbar.functions.numbers import is_integral
-from anbar.functions.text import number, strip
-from anbar.operators.joins import join_counted
+from anbar.functions.text import number, strip, whole_number
+from anbar.operators.joins import Size, join_counted
 from anbar.operators.prefix import running_totals
 from anbar.plans.session import cut_lineage
 
@@ -41,14 +41,9 @@ def type_values(df: DataFrame) -> DataFrame:
     A code that is no whole number becomes null (see ``quarantine``); a bad quantity is 0.
     """
     types = dict(df.dtypes)
-    code = number(F.col("product_code"), types["product_code"])
-    if types["product_code"] in ("bigint", "int", "smallint", "tinyint"):
-        code_value = F.col("product_code").cast("bigint")
-    else:
-        code_value = F.when(is_integral(code), code.try_cast("bigint"))
     out = df.withColumns(
         {
-            "product_code": code_value,
+            "product_code": whole_number(F.col("product_code"), types["product_code"]),
             "qty": F.coalesce(number(F.col("qty"), types["qty"]), F.lit(0.0)),
         }
     )
@@ -107,13 +102,20 @@ def label_dictionary(cleaned: DataFrame, columns=LABEL_COLUMNS, seq: str = "seq"
 def encode_labels(
     cleaned: DataFrame, dictionary: DataFrame, cfg: Config, columns=LABEL_COLUMNS
 ) -> DataFrame:
-    """Replace each label text by its code."""
+    """Replace each label text by its code. One job sizes the dictionaries of all labels."""
+    length = F.sum(F.octet_length("value") + 16)
+    sizes = dictionary.groupBy("label").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("total"), length.alias("bytes")
+    )
+    size_of = {r["label"]: Size(r["rows"], r["total"], r["bytes"]) for r in sizes.collect()}
     out = cleaned
     for c in present(cleaned, columns):
         codes = dictionary.where(F.col("label") == c).select(
             F.col("value").alias(c), F.col("code").alias("__code"), "n"
         )
-        out = join_counted(out, codes, [c], "n", cfg).withColumn(c, F.col("__code")).drop("__code")
+        size = size_of.get(c, Size(0, 0, 0))
+        out = join_counted(out, codes, [c], "n", cfg, size)
+        out = out.withColumn(c, F.col("__code")).drop("__code")
     return out
 
 
@@ -159,6 +161,12 @@ def add_dates(df: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
+def undated(df: DataFrame) -> DataFrame:
+    """The rows that ``drop_undated`` leaves out, with the reason."""
+    reason = F.when(F.col("jalali_date").isNull(), "no date").otherwise("not a valid date")
+    return df.where(F.col("jalali_year").isNull()).withColumn("reason", reason)
+
+
 def drop_undated(df: DataFrame) -> DataFrame:
     """Keep rows with a valid date. All date columns are null together, so the test on
     the parsed year, which needs no arithmetic, stands for all of them."""
@@ -182,6 +190,17 @@ def add_working_days(df: DataFrame, calendar: DataFrame, cfg: Config) -> DataFra
     return joined.select(*df.columns, flag.alias("working_day"))
 
 
+def input_summary(dated: DataFrame) -> DataFrame:
+    """One row about all typed and dated rows: how many, and how many are odd and why."""
+    return dated.agg(
+        F.count("*").alias("rows"),
+        F.count(F.when(~is_integral(F.col("qty")), 1)).alias("fractional_rows"),
+        F.count(F.when(F.col("product_code").isNull(), 1)).alias("rows_without_code"),
+        F.count(F.when(F.col("jalali_date").isNull(), 1)).alias("rows_without_date"),
+        F.count(F.when(F.col("jalali_year").isNull(), 1)).alias("undated_rows"),
+    )
+
+
 def prepare(raw: DataFrame, calendar: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """Cleaning, dates and working days in one plan: (dated transactions, dictionary)."""
     cleaned, dictionary = clean_transactions(raw, cfg)

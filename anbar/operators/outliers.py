@@ -25,22 +25,25 @@ def _fences(q: Column, cfg: Config) -> tuple[Column, Column]:
 def quantity_bounds(df: DataFrame, cfg: Config, weight: Column | None = None) -> DataFrame:
     """(product_code, n, low, high): fences of log1p(quantity) per product.
 
-    Products with fewer than ``winsor_min_rows`` rows take the fences of all rows.
+    Products with fewer than ``winsor_min_rows`` rows take the fences of all rows, and so do
+    the rows without a product code, which count in those fences and get a row of their own.
     ``weight`` is the number of transactions a row of ``df`` stands for.
     """
     weight = F.lit(1) if weight is None else weight
     counted = (
-        df.where(F.col("product_code").isNotNull())
-        .groupBy("product_code", F.greatest("qty", F.lit(0.0)).alias("__qty"))
+        df.groupBy("product_code", F.greatest("qty", F.lit(0.0)).alias("__qty"))
         .agg(F.sum(weight).alias("__count"))
         .select("product_code", log_quantity(F.col("__qty")).alias("log_qty"), "__count")
     )
     counted = cut_lineage(counted)
-    own = cut_lineage(
-        exact_quantiles(counted, ["product_code"], "log_qty", "__count", QUARTILES)
-    )
+    coded = counted.where(F.col("product_code").isNotNull())
+    own = exact_quantiles(coded, ["product_code"], "log_qty", "__count", QUARTILES)
+    uncoded = counted.where(F.col("product_code").isNull()).groupBy("product_code")
+    nothing = F.lit(None).cast("array<double>").alias("q")
+    own = own.unionByName(uncoded.agg(F.sum("__count").alias("n"), nothing))
+    own = cut_lineage(own)
     q = F.col("q")
-    few = F.col("n") < cfg.winsor_min_rows
+    few = (F.col("n") < cfg.winsor_min_rows) | F.col("product_code").isNull()
     if not own.where(few).isEmpty():
         everything = counted.groupBy("log_qty").agg(F.sum("__count").alias("__count"))
         overall = exact_quantiles(everything, [], "log_qty", "__count", QUARTILES).first()["q"]
@@ -64,9 +67,15 @@ def clipped_quantity(qty: Column, low: Column, high: Column) -> Column:
 def apply_bounds(df: DataFrame, bounds: DataFrame, cfg: Config) -> DataFrame:
     """``original_qty`` keeps the quantity, ``qty`` becomes the winsorised one.
 
-    Rows without a product code keep no winsorised quantity.
+    Rows without a product code get the fences of all rows.
     """
     joined = join_counted(df, bounds, ["product_code"], "n", cfg)
+    uncoded = bounds.where(F.col("product_code").isNull()).first()
+    if uncoded is not None:
+        joined = joined.withColumns(
+            {c: F.when(F.col("product_code").isNull(), F.lit(uncoded[c])).otherwise(F.col(c))
+             for c in ("low", "high")}
+        )
     return joined.withColumns(
         {
             "original_qty": F.col("qty"),

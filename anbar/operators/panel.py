@@ -39,19 +39,22 @@ class Facts(NamedTuple):
     abc: DataFrame  # (jalali_month, product_code) classes
     products: DataFrame  # product_code, product_name
     bounds: DataFrame  # winsor fences per product
+    months: DataFrame  # (jalali_month, month_start, product_code) that have sales
+    renamed: DataFrame  # product codes seen under more than one name
 
 
 def sales_cells(prepared: DataFrame) -> DataFrame:
     """Transactions pre-aggregated by everything winsorising and the panel look at.
 
     The one pass over the transactions on the modelling path: equal quantities of a
-    product in a month collapse map-side, so a hot product shuffles few rows.
+    product in a month collapse map-side, so a hot product shuffles few rows. Rows without
+    a product code stay: they count in the fences of all rows.
     """
     columns = prepared.columns
     name = F.col("product_name") if "product_name" in columns else F.lit(None).cast("string")
     working = F.col("working_day") if "working_day" in columns else F.lit(0)
     return (
-        prepared.na.drop(subset=["month_start", "jalali_month", "product_code"])
+        prepared.na.drop(subset=["month_start", "jalali_month"])
         .groupBy(
             "product_code", name.alias("product_name"), "month_start", "jalali_month", "qty"
         )
@@ -111,12 +114,15 @@ def facts(prepared: DataFrame, cfg: Config) -> Facts:
     """Winsorise and classify at cell grain, then sum to product-months."""
     cells = cut_lineage(sales_cells(prepared))
     bounds = quantity_bounds(cells, cfg, F.col("n"))
+    cells = cells.where(F.col("product_code").isNotNull())
     treated = apply_bounds(cells.withColumnRenamed("n", "rows"), bounds, cfg)
     treated = treated.withColumnRenamed("rows", "n")
     weight = F.col("n")
     abc = cut_lineage(classify(monthly_consumption(treated, F.col("qty") * weight, weight), cfg))
     monthly = cut_lineage(product_month_facts(treated, abc))
-    return Facts(monthly, abc, cut_lineage(product_names(cells)), bounds)
+    months = cells.select("jalali_month", "month_start", "product_code").distinct()
+    names = cut_lineage(product_names(cells))
+    return Facts(monthly, abc, names, bounds, months, renamed_products(cells))
 
 
 def month_bounds(monthly: DataFrame) -> tuple[datetime.date, datetime.date]:

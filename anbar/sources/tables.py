@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from anbar.config import PERSIAN_TO_CANONICAL
 
 CALENDAR_SCHEMA = "Date string, WorkingDay int"
 
+#: One header text per column.
+PERSIAN_HEADERS = tuple({v: k for k, v in PERSIAN_TO_CANONICAL.items()}.values())
+
+
+def text_columns(names: Sequence[str] = PERSIAN_HEADERS) -> StructType:
+    """A schema of text columns: the given names, or one Persian header for each column."""
+    return StructType([StructField(n, StringType()) for n in names])
+
 
 def read_transactions(
     spark: SparkSession,
@@ -22,12 +34,15 @@ def read_transactions(
     grows with the read order and is the same on a retried task. For a defined order
     over many files, give the input its own ``seq`` column.
 
-    Text formats without a schema are read as text only, never by inference, which
-    would scan the data twice.
+    Text formats are never read by inference, which would scan the data twice and guess
+    types: CSV without a schema is read as text by its header, JSON needs a schema (see
+    ``text_columns``).
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
         reader = reader.option("header", True)
+    if schema is None and fmt == "json":
+        raise ValueError("JSON needs a schema, for example text_columns()")
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)

@@ -18,23 +18,22 @@ def r(expr: str, places: int) -> str:
 
 
 def tx(variant: str = "plain", labels: bool = False) -> str:
-    qty, where, extra, orders = "l_quantity", "", "", ""
+    qty, extra, orders = "l_quantity", "", ""
+    code = "l_partkey * 1000000 + l_suppkey" if variant == "small" else "l_partkey"
     if variant == "returns":
         qty = (
             "CASE WHEN l_partkey % 50 = 0 OR (l_returnflag = 'R' AND l_linenumber = 7) "
             "THEN -l_quantity ELSE l_quantity END"
         )
-    if variant == "recent":
-        where = "WHERE l_shipdate >= TIMESTAMP '1999-06-01'"
     if labels:
         orders = "JOIN orders ON l_orderkey = o_orderkey"
         extra = """, l_returnflag AS doc_type, l_linestatus AS status, p_type AS product_nature,
             p_brand AS unit, CAST(l_suppkey AS VARCHAR) AS warehouse,
             CAST(o_custkey AS VARCHAR) AS counterparty, o_orderpriority AS consumption_location"""
     return f"""tx AS (
-        SELECT l_partkey AS product_code, p_name AS product_name, {qty} AS qty,
+        SELECT {code} AS product_code, p_name AS product_name, {qty} AS qty,
             CAST(l_shipdate AS DATE) AS gregorian_date, l_orderkey, l_linenumber{extra}
-        FROM lineitem JOIN part ON l_partkey = p_partkey {orders} {where})"""
+        FROM lineitem JOIN part ON l_partkey = p_partkey {orders})"""
 
 
 def jalali(source: str, date: str, name: str, keep: str = "*") -> str:
@@ -324,7 +323,148 @@ CODE_JOINS = " ".join(
     f"JOIN dictionary d_{c} ON d_{c}.label = '{c}' AND d_{c}.value = t.{c}" for c in LABELS
 )
 
+#: What the documents with faults mean, from the clean columns they were made of.
+DIRTY = (
+    """shifted AS (
+        SELECT l_orderkey, l_linenumber, l_orderkey % 17 AS fault,
+            CAST(CASE WHEN l_orderkey % 13 = 5 THEN CAST(l_shipdate AS DATE) - INTERVAL 275 YEAR
+                 WHEN l_orderkey % 13 = 6 THEN CAST(l_shipdate AS DATE) + INTERVAL 245 YEAR
+                 ELSE CAST(l_shipdate AS DATE) END AS DATE) AS day,
+            CASE WHEN l_orderkey % 19 = 1 THEN 9007199254000000000 + l_partkey
+                 WHEN l_orderkey % 19 IN (2, 3, 4) THEN NULL
+                 WHEN l_orderkey % 19 = 7 THEN l_partkey * 1000 ELSE l_partkey END AS product_code,
+            CASE WHEN l_orderkey % 29 = 1 THEN 'نامشخص' ELSE CAST(l_partkey AS VARCHAR) END
+                AS product_name,
+            CAST(CASE WHEN l_orderkey % 23 = 1 THEN 1000 + l_quantity
+                 WHEN l_orderkey % 23 IN (2, 3, 7) THEN 0
+                 WHEN l_orderkey % 23 = 4 THEN l_quantity + 0.5
+                 WHEN l_orderkey % 23 = 5 THEN l_quantity * 10
+                 WHEN l_orderkey % 23 = 6 THEN -l_quantity ELSE l_quantity END AS DOUBLE) AS qty
+        FROM lineitem),
+    """
+    + jalali("shifted", "day", "jdirty")
+    + """,
+    dirty AS (
+        SELECT *, fault IN (1, 2, 3, 7) AS undated, format('{:04d}/{:02d}', jy, jm) AS jm_key
+        FROM jdirty)"""
+)
+WHEN_DATED = "CASE WHEN NOT undated THEN {} END AS {}"
+DIRTY_LOGS = """dlogs AS (
+        SELECT *, ln(1 + greatest(qty, 0)) AS lq FROM dirty WHERE NOT undated),
+    down AS (
+        SELECT product_code, count(*) AS n, quantile_cont(lq, 0.25) AS q1,
+            quantile_cont(lq, 0.75) AS q3 FROM dlogs GROUP BY product_code),
+    dall AS (SELECT quantile_cont(lq, 0.25) AS g1, quantile_cont(lq, 0.75) AS g3 FROM dlogs),
+    dq AS (
+        SELECT l_orderkey, l_linenumber, d.product_code, qty, lq,
+            CASE WHEN n >= 10 AND d.product_code IS NOT NULL THEN q1 ELSE g1 END AS q1,
+            CASE WHEN n >= 10 AND d.product_code IS NOT NULL THEN q3 ELSE g3 END AS q3
+        FROM dlogs d JOIN down ON d.product_code IS NOT DISTINCT FROM down.product_code, dall)"""
+
+#: y(t) = b y(t - 1) by least squares on all but the last two train months, then two steps.
+AR = """arseries AS (
+        SELECT product_code, ix, n_train, target AS y,
+            target - lag(target) OVER (PARTITION BY product_code ORDER BY ix) AS dy FROM marked),
+    arpairs AS (
+        SELECT *, lag(y) OVER w AS py, lag(dy) OVER w AS pdy FROM arseries
+        WINDOW w AS (PARTITION BY product_code ORDER BY ix)),
+    arfit AS (
+        SELECT product_code,
+            coalesce(sum(y * py) / nullif(sum(py * py), 0), 0) AS b0,
+            coalesce(sum(dy * pdy) / nullif(sum(pdy * pdy), 0), 0) AS b1
+        FROM arpairs WHERE ix < n_train - 2 GROUP BY product_code),
+    arends AS (
+        SELECT product_code, max(y) FILTER (ix = n_train - 3) AS y0,
+            max(dy) FILTER (ix = n_train - 3) AS d0,
+            max(y) FILTER (ix = n_train - 2) AS a1, max(y) FILTER (ix = n_train - 1) AS a2
+        FROM arseries GROUP BY product_code),
+    arscores AS (
+        SELECT product_code, '1,0,0' AS "order",
+            (abs(b0 * y0 - a1) + abs(b0 * b0 * y0 - a2)) / 2 AS mae
+        FROM arfit JOIN arends USING (product_code)
+        UNION ALL
+        SELECT product_code, '1,1,0',
+            (abs(y0 + b1 * d0 - a1) + abs(y0 + b1 * d0 + b1 * b1 * d0 - a2)) / 2
+        FROM arfit JOIN arends USING (product_code))"""
+
+LAST_VALUE = (
+    """lastahead AS (
+        SELECT product_code, target AS forecast,
+            CAST(hi + to_months(CAST(h AS INTEGER)) AS DATE) AS ds
+        FROM lastrow, span, generate_series(1, 6) g(h)),
+    """
+    + jalali("lastahead", "ds", "jlast")
+    + """,
+    bothmodels AS (
+        SELECT 'Last Value' AS model, format('{:04d}/{:02d}', jy, jm) AS measure,
+            greatest(forecast, 0) AS forecast FROM jlast
+        UNION ALL SELECT Model, jalali_month, forecast FROM forecasts),
+    errors AS (
+        SELECT 'Last Value' AS model, target, lag_1 AS guess FROM marked WHERE split = 'test'
+        UNION ALL
+        SELECT 'Rolling Mean', target, rolling_mean_3 FROM marked WHERE split = 'test'),
+    measures AS (
+        SELECT model, avg(abs(target - guess)) AS MAE, avg((target - guess) ** 2) AS MSE,
+            sqrt(avg((target - guess) ** 2)) AS RMSE,
+            avg(abs((target - guess) / CASE WHEN target = 0 THEN 1 ELSE target END)) * 100 AS MAPE
+        FROM errors GROUP BY model),
+    sheetrows AS (
+        SELECT 'All_Products_Forecast' AS sheet, model, measure, sum(forecast) AS value,
+            count(*) AS rows FROM bothmodels GROUP BY ALL
+        UNION ALL
+        SELECT 'ML_Product_Forecast', model, measure, sum(forecast), count(*) FROM bothmodels
+        WHERE model = 'Last Value' GROUP BY ALL
+        UNION ALL
+        SELECT 'Model_Evaluation', model, measure, value, 1 FROM (
+            UNPIVOT measures ON MAE, MSE, RMSE, MAPE INTO NAME measure VALUE value))"""
+)
+
 ORACLE: dict[str, str] = {
+    "raw_cleaned": with_(DIRTY)
+    + "SELECT l_orderkey, l_linenumber, product_code, product_name, qty FROM dirty",
+    "raw_dates": with_(DIRTY)
+    + "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(
+        WHEN_DATED.format(expr, name)
+        for expr, name in (
+            ("day", "gregorian_date"), ("jy", "jalali_year"), ("jm_key", "jalali_month"),
+            ("jd", "jalali_day"), ("CAST(isodow(day) - 1 AS INTEGER)", "g_weekday"),
+        )
+    )
+    + " FROM dirty",
+    "raw_winsorized": with_(DIRTY, DIRTY_LOGS)
+    + """SELECT l_orderkey, l_linenumber, product_code, qty AS original_qty,
+            CAST(greatest(round_even(
+                CASE WHEN lq < q1 - 1.5 * (q3 - q1) THEN exp(q1 - 1.5 * (q3 - q1)) - 1
+                     WHEN lq > q3 + 1.5 * (q3 - q1) THEN exp(q3 + 1.5 * (q3 - q1)) - 1
+                     ELSE greatest(qty, 0) END, 0), 0) AS BIGINT) AS qty FROM dq""",
+    "quarantine_rows": with_(DIRTY)
+    + """SELECT l_orderkey, l_linenumber, qty,
+            CASE fault WHEN 1 THEN jy || '/13/01' WHEN 2 THEN 'تاریخ' WHEN 3 THEN NULL
+                WHEN 4 THEN format('{:04d}/{:02d}/{:02d} 10:20', jy, jm, jd)
+                WHEN 5 THEN format('{}-{}-{}', jy, jm, jd)
+                WHEN 6 THEN format('{:04d}.{:02d}.{:02d}', jy, jm, jd)
+                WHEN 7 THEN jy || '/07/31'
+                ELSE format('{:04d}/{:02d}/{:02d}', jy, jm, jd) END AS jalali_date
+            FROM dirty WHERE product_code IS NULL""",
+    "undated_rows": with_(DIRTY)
+    + """SELECT l_orderkey, l_linenumber,
+            CASE WHEN fault = 3 THEN 'no date' ELSE 'not a valid date' END AS reason
+            FROM dirty WHERE undated""",
+    "input_summary": with_(DIRTY)
+    + """SELECT count(*) AS rows, count(*) FILTER (qty % 1 <> 0) AS fractional_rows,
+            count(*) FILTER (product_code IS NULL) AS rows_without_code,
+            count(*) FILTER (fault = 3) AS rows_without_date,
+            count(*) FILTER (undated) AS undated_rows FROM dirty""",
+    "sarima_ar_scores": query(
+        "panel", f'SELECT product_code, "order", {r("mae", 4)} AS mae FROM arscores',
+        extra=(SPLIT, AR),
+    ),
+    "report_sheets": query(
+        "panel",
+        f"SELECT sheet, model, measure, {r('value', 4)} AS value, rows FROM sheetrows",
+        extra=(SPLIT, ROLL, LAST_VALUE),
+    ),
     "digits_numeric": """
         SELECT l_orderkey, l_linenumber,
             CASE WHEN l_linenumber = 7 THEN t || 'd' ELSE ' ' || t END AS digits,
@@ -366,7 +506,7 @@ ORACLE: dict[str, str] = {
             {r('q3 + 1.5 * (q3 - q1)', 6)} AS high FROM own""",
     ),
     "winsorized_qty": query("treated", f"SELECT {TX_KEYS} FROM treated"),
-    "winsorized_small_groups": query("treated", f"SELECT {TX_KEYS} FROM treated", "recent"),
+    "winsorized_small_groups": query("treated", f"SELECT {TX_KEYS} FROM treated", "small"),
     "winsorized_returns": query("treated", f"SELECT {TX_KEYS} FROM treated", "returns"),
     "monthly_consumption": query("abc", "SELECT * FROM monthly"),
     "abc_monthly": query("abc", "SELECT * FROM abc"),
@@ -472,12 +612,19 @@ ORACLE: dict[str, str] = {
     ),
     "sequences": query(
         "panel",
-        f"""SELECT y.product_code, y.month_start, y.split, {r('y.scaled_target', 6)} AS label,
-            CAST(3 - (y.ix - x.ix) AS INTEGER) AS pos, {r('x.scaled_lag_1', 6)} AS lag_1,
-            {r('x.scaled_g_month', 6)} AS g_month
-            FROM scaled y JOIN scaled x ON x.product_code = y.product_code
-                AND x.split = y.split AND x.ix BETWEEN y.ix - 3 AND y.ix - 1
-            WHERE y.ix >= 3 AND (y.split = 'train' OR y.ix >= y.n_train + 3)""",
-        extra=(SPLIT, scaled_cte()),
+        f"""SELECT product_code, month_start, split, {r('scaled_target', 6)} AS label,
+            CAST(pos AS INTEGER) AS pos,
+            {r('[l3, l2, l1][pos + 1]', 6)} AS lag_1, {r('[m3, m2, m1][pos + 1]', 6)} AS g_month
+            FROM windowed, generate_series(0, 2) g(pos) WHERE l3 IS NOT NULL""",
+        extra=(
+            SPLIT,
+            scaled_cte().replace("scaled AS (", "scaled AS MATERIALIZED ("),
+            """windowed AS (
+        SELECT product_code, month_start, split, scaled_target,
+            lag(scaled_lag_1, 1) OVER w AS l1, lag(scaled_lag_1, 2) OVER w AS l2,
+            lag(scaled_lag_1, 3) OVER w AS l3, lag(scaled_g_month, 1) OVER w AS m1,
+            lag(scaled_g_month, 2) OVER w AS m2, lag(scaled_g_month, 3) OVER w AS m3
+        FROM scaled WINDOW w AS (PARTITION BY product_code, split ORDER BY ix))""",
+        ),
     ),
 }

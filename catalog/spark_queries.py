@@ -19,7 +19,7 @@ from anbar.operators import panel as panels
 from anbar.plans import run as whole
 from anbar.plans.session import cut_lineage, ensure_checkpoint_dir
 from anbar.sources import stock_view
-from anbar.sources.sinks import write_bi_export
+from anbar.sources.sinks import write_bi_export, write_forecast_report
 from anbar.sources.tables import parse_working_days
 
 CFG = Config()
@@ -140,6 +140,39 @@ def working_day_join(spark, sf):
     return prepared(spark, sf).select("product_code", "qty", "gregorian_date", "working_day")
 
 
+def dirty(spark, sf) -> DataFrame:
+    """All lines as documents with faults, typed and dated."""
+    raw = cleaning.rename_columns(stock_view.dirty_transactions(spark, sf))
+    return cleaning.add_dates(cleaning.type_values(raw), CFG)
+
+
+def raw_cleaned(spark, sf):
+    return dirty(spark, sf).select("seq.*", "product_code", "product_name", "qty")
+
+
+def raw_dates(spark, sf):
+    return dirty(spark, sf).select(
+        "seq.*", "gregorian_date", "jalali_year", "jalali_month", "jalali_day", "g_weekday"
+    )
+
+
+def raw_winsorized(spark, sf):
+    rows = outliers.winsorize(cleaning.drop_undated(dirty(spark, sf)), CFG)
+    return rows.select("seq.*", "product_code", "original_qty", "qty")
+
+
+def quarantine_rows(spark, sf):
+    return cleaning.quarantine(dirty(spark, sf)).select("seq.*", "qty", "jalali_date")
+
+
+def undated_rows(spark, sf):
+    return cleaning.undated(dirty(spark, sf)).select("seq.*", "reason")
+
+
+def input_summary(spark, sf):
+    return cleaning.input_summary(dirty(spark, sf))
+
+
 # --- outliers and ABC -------------------------------------------------------
 
 
@@ -189,7 +222,8 @@ def bi_export(spark, sf):
 
 
 def panel_grid(spark, sf):
-    cells = panels.sales_cells(dated(spark, sf))
+    cells = cut_lineage(panels.sales_cells(dated(spark, sf)))
+    cells = cells.where(F.col("product_code").isNotNull())
     first, last = panels.month_bounds(cells)
     return panels.grid(panels.product_names(cells), first, last)
 
@@ -369,6 +403,58 @@ def series_forecast(code, keys=()):
     return query
 
 
+def sarima_ar_scores(spark, sf):
+    """Holdout error per product of the two candidates that are plain autoregressions."""
+    panel, _ = featured(build(spark, sf))
+    scores = series.candidate_scores(panel, "sarima", CFG, ["product_code"])
+    seasonal = F.aggregate("candidate.seasonal", F.lit(0), lambda a, x: a + x.cast("int"))
+    regular = F.array_join(F.transform("candidate.regular", lambda x: x.cast("string")), ",")
+    rows = scores.where(seasonal == 0).select("product_code", regular.alias("order"), "mae")
+    return rounded(rows.where(F.col("order").isin("1,0,0", "1,1,0")), 4, "mae")
+
+
+def last_value_predictor(df: DataFrame) -> DataFrame:
+    return df.withColumn("prediction", F.col("lag_1"))
+
+
+def report_sheets(spark, sf):
+    """Two closed-form models through product sheets, the model filter, the union and the
+    evaluation, written as a report and read back."""
+    panel, _ = featured(build(spark, sf))
+    panel = panel._replace(frame=panel.frame.persist())
+    models = {"Rolling Mean": mean_predictor, "Last Value": last_value_predictor}
+    forecasts = [forecast.recursive_forecast(panel, m, n, CFG) for n, m in models.items()]
+    every = cleaning.union_all(forecasts)
+    _, test = split.split_panel(panel, CFG)
+    scores = [
+        metrics.model_row(m(test), "target", "prediction", n).select("Model", *metrics.METRICS)
+        for n, m in models.items()
+    ]
+    sheets = {
+        "ML_Product_Forecast": report.product_sheet(report.of_models(every, ["Last Value"])),
+        "All_Products_Forecast": report.product_sheet(every),
+        "Sequence_Product_Forecast": report.product_sheet(report.of_models(every, ["none"])),
+        "Model_Evaluation": cleaning.union_all(scores),
+    }
+    out_dir = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4()}"
+    paths = write_forecast_report(sheets, out_dir)
+    panel.frame.unpersist()
+    parts = []
+    for name, path in paths.items():
+        rows = spark.read.parquet(path)
+        if name == "Model_Evaluation":
+            pairs = [F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in metrics.METRICS]
+            rows = rows.select(F.col("Model").alias("model"), F.inline(F.array(*pairs)))
+            part = rows.groupBy("model", "measure").agg(F.sum("value").alias("value"))
+            part = part.withColumn("rows", F.lit(1).cast("long"))
+        else:
+            part = rows.groupBy(
+                F.col("Model Name").alias("model"), F.col("jalali_month").alias("measure")
+            ).agg(F.sum("Forecasting Value").alias("value"), F.count("*").alias("rows"))
+        parts.append(part.select(F.lit(name).alias("sheet"), "model", "measure", "value", "rows"))
+    return rounded(cleaning.union_all(parts), 4, "value")
+
+
 def seq_forecast(spark, sf):
     panel, names, _ = cached(spark, sf)
     result = sequence.forecast_sequences(panel, names, MODEL_NAMES["seq"], SMALL)
@@ -404,7 +490,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "working_day_join": working_day_join,
     "quantity_bounds": quantity_bounds,
     "winsorized_qty": winsorized("plain"),
-    "winsorized_small_groups": winsorized("recent"),
+    "winsorized_small_groups": winsorized("small"),
+    "raw_cleaned": raw_cleaned,
+    "raw_dates": raw_dates,
+    "raw_winsorized": raw_winsorized,
+    "quarantine_rows": quarantine_rows,
+    "undated_rows": undated_rows,
+    "input_summary": input_summary,
     "winsorized_returns": winsorized("returns"),
     "monthly_consumption": monthly_consumption,
     "abc_monthly": abc_monthly("plain"),
@@ -438,6 +530,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_forecast": tree_forecast,
     "trend_forecast": series_forecast("trend"),
     "sarima_forecast": series_forecast("sarima"),
+    "sarima_forecast_by_product": series_forecast("sarima", ("product_code",)),
+    "sarima_ar_scores": sarima_ar_scores,
+    "report_sheets": report_sheets,
     "trend_forecast_by_product": series_forecast("trend", ("product_code",)),
     "seq_forecast": seq_forecast,
     "importance_table": importance_table,

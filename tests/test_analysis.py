@@ -90,9 +90,23 @@ def test_winsorise_equals_pandas(spark):
 
 
 def test_rows_without_product_survive_winsorising(spark):
-    df = spark.createDataFrame([(1, 5.0), (None, 3.0)], "product_code bigint, qty double")
-    got = {r["product_code"]: r["qty"] for r in outliers.winsorize(df, CFG).collect()}
-    assert got == {1: 5, None: None}
+    rows = [(1, float(q)) for q in range(1, 13)] + [(None, 3.0), (None, 900.0)]
+    df = spark.createDataFrame(rows, "product_code bigint, qty double")
+    got = [(r["original_qty"], r["qty"]) for r in outliers.winsorize(df, CFG).collect()
+           if r["product_code"] is None]
+    log = np.log1p([q for _, q in rows])  # they count in the fences of all rows
+    low, high = np.quantile(log, [0.25, 0.75])
+    top = int(np.rint(np.expm1(high + 1.5 * (high - low))))
+    assert sorted(got) == [(3.0, 3), (900.0, top)]
+
+
+def test_cells_keep_rows_without_product_for_the_fences(spark):
+    rows = [("1403/01/02", 1, 4)] * 3 + [("1403/01/02", None, 1000)]
+    f = panel.facts(transactions(spark, rows), CFG)
+    fences = {r["product_code"]: r["high"] for r in f.bounds.collect()}
+    assert set(fences) == {1, None} and fences[1] == fences[None] > np.log1p(4)
+    assert {r["product_code"] for r in f.monthly.collect()} == {1}
+    assert [tuple(r) for r in f.months.collect()] == [("1403/01", D(2024, 3, 1), 1)]
 
 
 @pytest.fixture(scope="module")

@@ -5,12 +5,19 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from anbar.config import Config
 from anbar.functions import jalali
 from anbar.operators import cleaning
-from anbar.sources.tables import parse_working_days, read_transactions, read_working_days
+from anbar.sources.tables import (
+    parse_working_days,
+    read_transactions,
+    read_working_days,
+    text_columns,
+)
 
 CFG = Config()
 D = datetime.date
@@ -91,6 +98,55 @@ def test_label_codes_follow_first_appearance(spark):
     }
 
 
+def test_years_of_the_timestamp_range_are_kept(spark):
+    texts = ["1150/01/01", "1610/01/01", "1056/01/01", "1641/01/01", "1055/12/29", "1642/01/01"]
+    raw = spark.createDataFrame([(t,) for t in texts], "jalali_date string")
+    got = {r["jalali_date"]: r["gregorian_date"] for r in cleaning.add_dates(raw, CFG).collect()}
+    assert got["1150/01/01"] == D(1771, 3, 21) and got["1610/01/01"] == D(2231, 3, 21)
+    assert [got[t] is None for t in texts] == [False] * 4 + [True] * 2
+
+
+def test_long_product_codes_are_exact(spark):
+    texts = ["9007199254740993", "9007199254740992", "1234567890123456789", "-9223372036854775808",
+             "9223372036854775808", "+7", "7.0", "7.5", "1e3", "۱,۰۰۰"]
+    raw = spark.createDataFrame([(t, "1", "1403/01/01") for t in texts], "product_code string, qty string, jalali_date string")
+    got = [r["product_code"] for r in cleaning.type_values(raw).collect()]
+    assert got == [9007199254740993, 9007199254740992, 1234567890123456789, -2**63, None, 7, 7, None, 1000, 1000]
+    decimal = raw.limit(3).withColumn("product_code", F.col("product_code").cast("decimal(20,1)"))
+    assert [r["product_code"] for r in cleaning.type_values(decimal).collect()] == got[:3]
+
+
+def test_dropped_rows_are_told(raw):
+    dated = cleaning.add_dates(cleaning.type_values(cleaning.rename_columns(raw)), CFG)
+    reasons = {r["seq"]: r["reason"] for r in cleaning.undated(dated).collect()}
+    assert set(reasons) == {i for i, r in enumerate(EDGE_ROWS) if r[1] is None}
+    assert {i for i, r in reasons.items() if r == "no date"} == {8}
+    summary = cleaning.input_summary(dated).first().asDict()
+    assert summary == {"rows": 16, "fractional_rows": 2, "rows_without_code": 3,
+                       "rows_without_date": 1, "undated_rows": len(reasons)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1056, 1640), st.integers(1, 12), st.integers(1, 31))
+def test_jalali_days_follow_the_calendar(year, month, day):
+    """A day exists unless it is beyond its month; 12/30 only in leap years of 33."""
+    leap = year % 33 in (1, 5, 9, 13, 17, 22, 26, 30)
+    exists = day <= 30 + (month <= 6) - (month == 12 and not leap)
+    DAYS.setdefault((year, month, day), exists)
+
+
+DAYS: dict[tuple[int, int, int], bool] = {}
+
+
+def test_generated_days_are_valid_or_null(spark):
+    test_jalali_days_follow_the_calendar()
+    rows = [(f"{y}/{m}/{d}", ok) for (y, m, d), ok in DAYS.items()]
+    df = cleaning.add_dates(spark.createDataFrame(rows, "jalali_date string, ok boolean"), CFG)
+    assert df.where("(gregorian_date is not null) <> ok").isEmpty()
+    back = jalali.with_jalali(df.where("ok"), "gregorian_date", "b")
+    assert back.where("by <> jalali_year or bd <> jalali_day").isEmpty()
+
+
 def test_numeric_input_columns_pass(spark):
     raw = spark.createDataFrame(
         [(1.0, float("nan")), (2.5, 3.0), (None, None)], "product_code double, qty double"
@@ -156,4 +212,7 @@ def test_read_transactions_formats(spark, tmp_path):
     for fmt in ("json", "orc", "parquet"):
         out = str(tmp_path / fmt)
         df.drop("seq").write.format(fmt).save(out)
-        assert set(read_transactions(spark, out, fmt).columns) == set(df.columns)
+        schema = text_columns(df.columns[:3]) if fmt == "json" else None
+        assert set(read_transactions(spark, out, fmt, schema).columns) == set(df.columns)
+    with pytest.raises(ValueError, match="schema"):
+        read_transactions(spark, str(tmp_path / "json"), "json")

@@ -9,11 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from anbar.__main__ import arguments, main
 from anbar.config import Config, model_codes
 from anbar.models import sequence, series
+from anbar.operators.abc import abc_export
 from anbar.operators.panel import Panel
 from anbar.plans.run import run
 from anbar.sources import stock_view
+from anbar.sources.sinks import persian_headers
 from anbar.sources.tables import parse_working_days
 from catalog.spark_queries import SMALL
 
@@ -84,6 +87,30 @@ def test_series_forecast_by_product(spark, code):
     assert {r["failed"] for r in result.failures.collect()} == {0}
 
 
+def test_series_that_doubles_keeps_its_forecast(spark):
+    doubling = 2.0 ** np.arange(72)
+    p = panel_of(spark, {1: doubling, 2: noisy()})
+    result = series.forecast_series(p, "sarima", "m", CFG, ["product_code"])
+    rows = result.forecasts.orderBy("product_code", "ds").collect()
+    assert [r["product_code"] for r in rows] == [1] * 6 + [2] * 6
+    assert np.allclose([r["forecast"] for r in rows[:6]], 2.0 ** np.arange(72, 78), rtol=1e-3)
+    assert result.skipped.isEmpty()
+
+
+def test_failed_refits_fall_back_and_are_told(spark, monkeypatch):
+    def fit(y, steps, candidate):
+        rank, refit = candidate["rank"], steps > 2
+        if y[0] > 500 or (refit and rank < 2):
+            raise ValueError("no")
+        return np.full(steps, float(rank))
+
+    monkeypatch.setitem(series.FITTERS, "sarima", (series.sarima_candidates, fit))
+    p = panel_of(spark, {1: np.zeros(20) + 0.5, 2: np.full(20, 900.0)})
+    result = series.forecast_series(p, "sarima", "m", CFG, ["product_code"])
+    assert {(r["product_code"], r["forecast"]) for r in result.forecasts.collect()} == {(1, 2.0)}
+    assert [(r["product_code"], r["reason"][:12]) for r in result.skipped.collect()] == [(2, "no candidate")]
+
+
 def test_series_needs_six_train_months(spark):
     p = panel_of(spark, {1: np.arange(7.0)})
     assert series.forecast_series(p, "trend", "m", CFG) is None
@@ -138,7 +165,12 @@ def test_whole_run_writes_every_sheet(spark, tmp_path):
     assert names == {
         "PowerBI_Data", "ABC_Analysis", "Total_Forecast", "ML_Product_Forecast",
         "All_Products_Forecast", "Model_Evaluation", "Feature_Importance", "Label_Dictionary",
+        "Quarantine", "Undated", "Input_Summary", "Renamed_Products", "Skipped_Series",
     }
+    sheet = spark.read.parquet(str(tmp_path / "ABC_Analysis"))
+    assert sheet.exceptAll(persian_headers(abc_export(out.enriched))).isEmpty()
+    assert sheet.count() == abc_export(out.enriched).count()
+    assert spark.read.parquet(str(tmp_path / "Input_Summary")).first()["rows"] == 6000
     rows = spark.read.parquet(str(tmp_path / "PowerBI_Data"))
     assert rows.count() == 6000
     assert {"کد کالا", "کلاس ABC", "ماه شمسی", "original_qty"} <= set(rows.columns)
@@ -148,3 +180,29 @@ def test_whole_run_writes_every_sheet(spark, tmp_path):
     scores = spark.read.parquet(str(tmp_path / "Model_Evaluation")).toPandas()
     assert set(scores["Model"]) == {"Gradient Boosting", "Trend Seasonal"}
     assert np.allclose(scores["RMSE"] ** 2, scores["MSE"])
+
+
+def test_job_on_csv_files(spark, tmp_path):
+    lines = [" تاریخ ,کد کالا,مقدار (اصلی),نام کالا,انبار"]
+    for year in (1401, 1402):
+        for m in range(1, 13):
+            lines += [f"{year}/{m:02d}/10,{p},{10 * p + m},name {p},w{p}" for p in (1, 2)]
+    lines += ["1402/13/01,1,5,name 1,w1", "1402/12/10,x,5,name 1,w1", ",1,5,other,w1"]
+    (tmp_path / "tx.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "days.csv").write_text("Date,WorkingDay\n01/04/2022,1\n")
+    out = tmp_path / "out"
+    main(["--transactions", str(tmp_path / "tx.csv"), "--format", "csv", "--calendar", str(tmp_path / "days.csv"),
+          "--out", str(out), "--models", "SARIMA", "trend"])
+    names = {p.name for p in out.iterdir()}
+    assert names == {
+        "PowerBI_Data", "ABC_Analysis", "Total_Forecast", "Model_Evaluation", "Feature_Importance",
+        "Label_Dictionary", "Quarantine", "Undated", "Input_Summary", "Renamed_Products", "Skipped_Series",
+    }
+    summary = spark.read.parquet(str(out / "Input_Summary")).first().asDict()
+    assert summary == {"rows": 51, "fractional_rows": 0, "rows_without_code": 1, "rows_without_date": 1, "undated_rows": 2}
+    reasons = [r["reason"] for r in spark.read.parquet(str(out / "Undated")).collect()]
+    assert sorted(reasons) == ["no date", "not a valid date"]
+    assert spark.read.parquet(str(out / "Quarantine")).count() == 1
+    assert spark.read.parquet(str(out / "PowerBI_Data")).count() == 49
+    with pytest.raises(SystemExit):
+        arguments(["--transactions", "a", "--calendar", "b", "--out", "c", "--models", "other"])
