@@ -19,7 +19,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="anbar-checkpoint-", dir="/tmp")
     context.setCheckpointDir(named)

@@ -123,13 +123,13 @@ def jalali_dates(spark, sf):
 
 
 def month_features(spark, sf):
-    first, last = panels.month_bounds(dated(spark, sf))
-    known = panels.month_array(F.lit(first), F.lit(last))
-    months = F.concat(known, jalali.future_months(F.lit(last), CFG.horizon))
-    rows = dated(spark, sf).agg(F.count("*").alias("rows")).where("rows > 0")
-    rows = rows.select(F.explode(months).alias("month_start"))
+    first, last = F.min("month_start").alias("first"), F.max("month_start").alias("last")
+    bounds = dated(spark, sf).agg(first, last).where("first is not null")
+    known = panels.month_array(F.col("first"), F.col("last"))
+    months = F.concat(known, jalali.future_months(F.col("last"), CFG.horizon))
+    rows = bounds.select("last", F.explode(months).alias("month_start"))
     out = jalali.with_month_features(rows, "month_start")
-    return out.withColumn("is_future", F.col("month_start") > F.lit(last))
+    return out.withColumn("is_future", F.col("month_start") > F.col("last")).drop("last")
 
 
 def working_day_calendar(spark, sf):
