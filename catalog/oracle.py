@@ -387,6 +387,31 @@ AR = """arseries AS (
             (abs(y0 + b1 * d0 - a1) + abs(y0 + b1 * d0 + b1 * b1 * d0 - a2)) / 2
         FROM arfit JOIN arends USING (product_code))"""
 
+WINDOW_MEAN = (
+    """lastix AS (SELECT max(ix) AS m FROM marked),
+    windowstate AS (
+        SELECT product_code, product_name, max(lag_1) FILTER (ix = m - 2) AS a,
+            max(lag_1) FILTER (ix = m - 1) AS b, max(lag_1) FILTER (ix = m) AS c
+        FROM marked, lastix GROUP BY ALL),
+    ranges AS (
+        SELECT product_code, lo_lag_1 AS low, lo_target AS base,
+            CASE WHEN hi_lag_1 > lo_lag_1 THEN hi_lag_1 - lo_lag_1 ELSE 1 END AS wide,
+            CASE WHEN hi_target > lo_target THEN hi_target - lo_target ELSE 1 END AS reach
+        FROM train_bounds),
+    rolled AS (
+        SELECT product_code, product_name, 0 AS horizon, a, b, c FROM windowstate
+        UNION ALL
+        SELECT r.product_code, product_name, horizon + 1, b, c,
+            greatest(((a - low) / wide + (b - low) / wide + (c - low) / wide) / 3 * reach + base, 0)
+        FROM rolled r JOIN ranges USING (product_code) WHERE horizon < 6),
+    rolledahead AS (
+        SELECT product_code, product_name, horizon, c AS forecast,
+            CAST(hi + to_months(CAST(horizon AS INTEGER)) AS DATE) AS ds
+        FROM rolled, span WHERE horizon > 0),
+    """
+    + jalali("rolledahead", "ds", "jrolled")
+)
+
 LAST_VALUE = (
     """lastahead AS (
         SELECT product_code, target AS forecast,
@@ -460,6 +485,12 @@ ORACLE: dict[str, str] = {
         "panel", f'SELECT product_code, "order", {r("mae", 4)} AS mae FROM arscores',
         extra=(SPLIT, AR),
     ),
+    "seq_rollout_mean": query(
+        "panel",
+        f"""SELECT product_code, product_name, ds, format('{{:04d}}/{{:02d}}', jy, jm) AS jalali_month,
+            horizon, {r('forecast', 4)} AS forecast, 'Window Mean' AS Model FROM jrolled""",
+        extra=(SPLIT, scaled_cte(), WINDOW_MEAN),
+    ),
     "report_sheets": query(
         "panel",
         f"SELECT sheet, model, measure, {r('value', 4)} AS value, rows FROM sheetrows",

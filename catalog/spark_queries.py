@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -461,6 +462,22 @@ def seq_forecast(spark, sf):
     return finished(panel, result.forecasts)
 
 
+class WindowMean:
+    """Predicts the mean of the scaled window, in place of a fitted model."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        values = vector_to_array("features")
+        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        return df.withColumn("prediction", total / F.size(values))
+
+
+def seq_rollout_mean(spark, sf):
+    """The recursive rollout of scaled windows with a closed-form model."""
+    panel, _ = featured(build(spark, sf))
+    rows = sequence.rollout(panel, ["lag_1"], WindowMean(), "Window Mean", CFG)
+    return rounded(rows, 4, "forecast")
+
+
 def importance_table(spark, sf):
     panel, names, _ = cached(spark, sf)
     return finished(panel, tree.importance_table(panel.frame, names, SMALL))
@@ -535,6 +552,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_sheets": report_sheets,
     "trend_forecast_by_product": series_forecast("trend", ("product_code",)),
     "seq_forecast": seq_forecast,
+    "seq_rollout_mean": seq_rollout_mean,
     "importance_table": importance_table,
     "model_evaluation": model_evaluation,
     "full_run": full_run,
