@@ -12,7 +12,9 @@ look their sequence up in the runs.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anbar.llm.common import small, table, written
+from anbar.llm.common import table, written
 
 LENGTH = 2048
 #: Pieces of text as the byte-level vocabulary splits them, for the characters of PLAIN only.
@@ -32,35 +34,58 @@ PLAIN = re.compile(
     r"[^\t\n\r -~À-ÖØ-öø-ſ©«·»¿¡"
     r"–—‘’“”•…€]|<\|"
 )
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 
 
-class _Ids(dict):
-    """Token ids of pieces of text as bytes; bounded."""
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Ids:
+    """Token ids of pieces of text as bytes. Bounded: beyond ``CACHE_PIECES`` the entries
+    become the older half, from which those still in use come back."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        found = self[piece] = np.array(ids, "<u4").tobytes()
-        return found
-
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[list[str] | None]) -> None:
         """Look new pieces up together, which is faster than one by one."""
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.older = {}, self.known
+        new = []
+        for p in set().union(*filter(None, pieces)).difference(self.known):
+            if p in self.older:
+                self.known[p] = self.older[p]
+            else:
+                new.append(p)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, "<u4").tobytes()
-
-    def of(self, text: str) -> np.ndarray:
-        if PLAIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, SPLIT.findall(text))), "<u4")
+            self.known[p] = _bytes(e.ids)
+
+    def of_each(self, texts: list[str], chars: int = 1 << 19) -> Iterator[np.ndarray]:
+        """Ids of each text. Texts are split in groups of about ``chars`` characters."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < chars:
+                size += len(texts[end])
+                end += 1
+            group = texts[at:end]
+            pieces = [None if PLAIN.search(t) else SPLIT.findall(t) for t in group]
+            self.learn(pieces)
+            for text, split in zip(group, pieces, strict=True):
+                if split is None:
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                else:
+                    yield np.frombuffer(b"".join(map(self.known.__getitem__, split)), "<u4")
+            at = end
 
 
 _loaded: dict[str, _Ids] = {}
@@ -183,13 +208,11 @@ def pieces(
         end = np.zeros(1, "<u4")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            plain = [p for t in texts if not PLAIN.search(t) for p in set(SPLIT.findall(t))]
-            ids_of.learn(plain)
             rows: list[tuple] = []
             at: list[int] = []
             kept: list[np.ndarray] = []
-            for i, t in enumerate(texts):
-                ids = np.concatenate([ids_of.of(t), end])
+            for i, found in enumerate(ids_of.of_each(texts)):
+                ids = np.concatenate([found, end])
                 n = len(ids)
                 stop = n - (-(-n // size) - 1) * size  # the end of the first piece
                 start = piece = 0
@@ -216,15 +239,13 @@ def pieces(
     return docs.select(docs[key], docs[text]).mapInArrow(cut, schema)
 
 
-def place(cut: DataFrame, size: int = LENGTH, broadcast_rows: int = 200_000) -> DataFrame:
+def place(cut: DataFrame, size: int = LENGTH) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to written ``pieces``."""
     counts = written(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = plan(histogram, size)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if small(bases, broadcast_rows):
-        bases = F.broadcast(bases)
     numbered = cut.join(bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     numbered = numbered.drop("base", "part")
     table_of_runs = np.array(sorted(runs) or [Run(0, 0, 0, 0, 1, 0)], dtype=np.int64)

@@ -66,8 +66,8 @@ def test_ids_equal_the_tokenizer():
     ]
     tokenizer = Tokenizer.from_file(vocabulary())
     ids = token_ids(vocabulary())
-    for t in texts:
-        assert ids.of(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    for t, found in zip(texts, ids.of_each(texts, chars=30), strict=True):
+        assert found.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def check(rows, texts, size):
