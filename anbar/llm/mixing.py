@@ -81,20 +81,34 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _walk(first: Column, last: Column, ratio: Callable[[Column], Column]) -> Column:
     """Weights of first .. last, each ``ratio`` (of its place) times the one before; starts at 1."""
-    start = F.struct(
-        F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("all")
-    )
+    start = F.struct(F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("all"))
     steps = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(
-        steps,
-        start,
-        lambda a, k: F.struct(
-            (a["w"] * ratio(k)).alias("w"), F.concat(a["all"], F.array(a["w"] * ratio(k))).alias("all")
-        ),
-        lambda a: a["all"],
-    )
+
+    def step(a: Column, k: Column) -> Column:
+        return _let(
+            a["w"] * ratio(k),
+            lambda w: F.struct(w.alias("w"), F.concat(a["all"], F.array(w)).alias("all")),
+        )
+
+    return F.aggregate(steps, start, step, lambda a: a["all"])
+
+
+def _place_of(weights: Column, passed: Column) -> Column:
+    """Index of the first weight at which the running sum is above ``passed``, or the last."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+
+    def step(a: Column, w: Column) -> Column:
+        upto = a["sum"] + w
+        return F.struct(upto.alias("sum"), (a["n"] + (upto <= passed).cast("long")).alias("n"))
+
+    return F.aggregate(weights, start, step, lambda a: F.least(a["n"], F.size(weights) - 1))
 
 
 def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column) -> Column:
@@ -103,39 +117,40 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column)
     The probabilities are walked outwards from the mode, relative to the mode, up to twelve
     standard deviations away; what lies beyond is below the resolution of a double.
     """
-    zero = F.lit(0).cast("long")
-    low = F.greatest(zero, drawn + marked - population)
+    low = F.greatest(F.lit(0).cast("long"), drawn + marked - population)
     high = F.least(drawn, marked)
-    mode = F.floor((drawn + 1.0) * (marked + 1.0) / (population + 2.0)).cast("long")
-    mode = F.greatest(low, F.least(high, mode))
-    part = marked / F.greatest(population, F.lit(1))
-    reach = F.ceil(12 * F.sqrt(drawn * part * (1 - part)) + 12).cast("long")
-    top, bottom = F.least(high, mode + reach), F.greatest(low, mode - reach)
     rest = population - marked - drawn
+    share = marked / F.greatest(population, F.lit(1))
+    reach = F.ceil(12 * F.sqrt(drawn * share * (1 - share)) + 12).cast("long")
+    middle = F.floor((drawn + 1.0) * (marked + 1.0) / (population + 2.0)).cast("long")
 
-    def up(k: Column) -> Column:  # weight of k over weight of k - 1
-        return (marked - k + 1.0) * (drawn - k + 1.0) / (k * (rest + k * 1.0))
-
-    def down(j: Column) -> Column:  # j counts steps below the mode: weight of mode - j over the next
-        k = mode - j
-        return (k + 1.0) * (rest + k + 1.0) / ((marked - k) * (drawn - k * 1.0))
-
-    upper = _walk(mode + 1, top, up)
-    lower = _walk(F.lit(1).cast("long"), mode - bottom, down)
-    weights = F.concat(F.array(F.lit(1.0)), upper, lower)
-    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-    # Index of the first weight at which the running sum passes u * total.
-    passed = F.aggregate(
-        weights,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
-        lambda a, w: F.struct(
-            (a["sum"] + w).alias("sum"),
-            (a["n"] + F.when(a["sum"] + w <= u * total, 1).otherwise(0)).alias("n"),
-        ),
-        lambda a: F.least(a["n"], F.size(weights) - 1),
-    )
-    above = F.size(upper).cast("long")
-    return F.when(passed <= above, mode + passed).otherwise(mode - (passed - above))
+    def around(mode: Column) -> Column:
+        def up(k: Column) -> Column:  # weight of k over weight of k - 1
+            return (marked - k + 1.0) * (drawn - k + 1.0) / (k * (rest + k * 1.0))
+
+        def down(j: Column) -> Column:  # j steps below the mode: weight of that over the next
+            k = mode - j
+            return (k + 1.0) * (rest + k + 1.0) / ((marked - k) * (drawn - k * 1.0))
+
+        sides = F.struct(
+            _walk(mode + 1, F.least(high, mode + reach), up).alias("upper"),
+            _walk(F.lit(1).cast("long"), mode - F.greatest(low, mode - reach), down).alias("lower"),
+        )
+        return _let(sides, lambda s: chosen(mode, s))
+
+    def chosen(mode: Column, sides: Column) -> Column:
+        above = F.size(sides["upper"]).cast("long")
+        weights = F.concat(F.array(F.lit(1.0)), sides["upper"], sides["lower"])
+        return _let(
+            _let(weights, lambda w: _let(_total(w) * u, lambda passed: _place_of(w, passed))),
+            lambda place: F.when(place <= above, mode + place).otherwise(mode - (place - above)),
+        )
+
+    return _let(F.greatest(low, F.least(high, middle)), around)
+
+
+def _total(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -167,11 +182,13 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def deal(a: Column, q: Column) -> Column:
             u = _uniform(F.lit(seed), F.col("low"), F.col("high"), q["source_no"])
-            n = hypergeometric(a["population"], q["quota"], a["drawn"], u)
-            return F.struct(
-                (a["population"] - q["quota"]).alias("population"),
-                (a["drawn"] - n).alias("drawn"),
-                F.concat(a["taken"], F.array(n)).alias("taken"),
+            return _let(
+                hypergeometric(a["population"], q["quota"], a["drawn"], u),
+                lambda n: F.struct(
+                    (a["population"] - q["quota"]).alias("population"),
+                    (a["drawn"] - n).alias("drawn"),
+                    F.concat(a["taken"], F.array(n)).alias("taken"),
+                ),
             )
 
         left = F.aggregate("quotas", start, deal, lambda a: a["taken"])
@@ -195,8 +212,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         )
         nodes = parted.select("all", F.explode(children).alias("c")).select("c.*", "all")
         width, depth = (width + 1) // 2, depth + 1
-        # A node's draw is evaluated once, and a wide tree spreads over the cluster.
-        nodes = written(nodes.repartition(8 * 2 ** max(0, depth - 6), "low") if depth > 4 else nodes)
+        if depth % 4 == 0 or width <= 1:  # short plans, and a wide tree spreads over the cluster
+            nodes = written(nodes.repartition(2 ** max(0, depth - 4), "low"))
     leaves = nodes.select(F.col("low").alias("shard"), F.explode("quotas").alias("q"))
     return leaves.select("q.source_no", "shard", F.col("q.quota").alias("n")).where("n > 0")
 
