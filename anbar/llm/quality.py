@@ -236,11 +236,17 @@ def learned_from(
     """Rules from the labelled documents that pass the base rules.
 
     ``fit_rows`` bounds the labelled rows taken to the driver; beyond it, those with the
-    smallest hashed ids are used. Null labels are left out; without labels there are no rules.
+    smallest hashed ids are used, and a bar on the hash keeps the others on the executors.
+    Null labels are left out; without labels there are no rules.
     """
     known = labels.where("quality is not null").groupBy(key).agg(F.min("quality").alias("quality"))
-    rows = stats.where(~F.col("base_failed")).join(known, key).orderBy(F.xxhash64(key), key)
-    rows = rows.limit(fit_rows).select("quality", *FEATURES).toPandas()
+    rows = stats.where(~F.col("base_failed")).join(known, key)
+    order = F.xxhash64(F.lit("fit"), key)
+    labelled = rows.count()
+    if labelled > fit_rows:
+        place = F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))
+        rows = rows.where(place < 1.2 * fit_rows / labelled)
+    rows = rows.orderBy(order, key).limit(fit_rows).select("quality", *FEATURES).toPandas()
     x = {name: rows[name].to_numpy(float) for name in FEATURES}
     return learn_rules(x, rows["quality"].to_numpy() == 0, **settings)
 

@@ -73,3 +73,10 @@ def test_edges(spark):
     assert {(r["doc_id"], r["kept"]) for r in out} == {(1, False), (2, False), (3, True), (None, False)}
     assert judged(docs.limit(0), labels).count() == 0
     assert judged(docs, labels.limit(0)).count() == 5
+
+
+def test_bounded_fit(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    bounded = judged(docs, labels, fit_rows=150).where("not base_failed")
+    wrong = bounded.join(labels, "doc_id").where("kept <> (quality = 1)")
+    assert wrong.count() <= 5
