@@ -1,13 +1,16 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network sees the two words on each side of a masked word and predicts it; the sum of
-the log-probabilities of all words, each masked in turn, scores a document. Words are hashed
-into a fixed number of buckets. The network predicts one of ``CLASSES`` classes of buckets, and
-within a class buckets are as likely as in the corpus, so the probabilities sum to one.
-
-The bucket counts cover every document. Training does too: each round every task masks a share
-of the words of all its documents, trains on them from the same start, and the tasks' weights
-are averaged by the words they trained on. What is exchanged grows with the number of tasks.
+the log-probabilities of all words, each masked in turn, scores a document. For the network words
+are hashed into a fixed number of buckets, and it predicts one of ``CLASSES`` classes of them.
+Within a class each exact word is as likely as in the corpus, and each bucket keeps one
+occurrence for words not seen, so the probabilities sum to one.
+
+Words are counted exactly, in a written table that grows with the corpus. Scoring knows the
+``OFTEN`` most frequent ones; the others are looked up by a join. Training covers every word:
+each round every task masks its share of the words of all its documents, the rounds' shares
+together being all words, trains on them from the same start, and the tasks' weights are
+averaged by the words they trained on. What is exchanged grows with the number of tasks.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from anbar.llm.common import per_text, table, task_sums
-from anbar.llm.minhash_dedup import word_hashes
+from anbar.llm.common import table, task_sums, written
+from anbar.llm.minhash_dedup import GOLDEN, _mixed, word_hashes
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -30,6 +34,7 @@ OWN = 128
 WIDTH = 16
 SIDE = 2
 PAD = BUCKETS
+OFTEN = 1 << 16
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
 
@@ -76,8 +81,10 @@ class Network(NamedTuple):
 
     def learn(self, context: np.ndarray, wanted: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the cross-entropy of a small batch."""
-        hidden = self.hidden(context)
-        scores = np.clip(hidden @ self.out + self.bias, -60, 60)
+        vectors = self.words[context]
+        hidden = np.tanh(np.einsum("njw,jw->nw", vectors, self.places))
+        scores = hidden @ self.out + self.bias
+        np.clip(scores, -60, 60, out=scores)
         np.exp(scores, out=scores)
         scores /= scores.sum(axis=1, keepdims=True)
         scores[np.arange(len(wanted)), wanted] -= 1
@@ -85,19 +92,22 @@ class Network(NamedTuple):
         self.out[...] -= rate / len(wanted) * (hidden.T @ scores)
         self.bias[...] -= rate / len(wanted) * scores.sum(axis=0)
         # A word is in few contexts of a batch, so its vector gets the step of each, unaveraged.
-        for j in range(2 * SIDE):
-            rows = context[:, j]
-            step = back * self.places[j]
-            self.places[j] -= rate / len(wanted) * (back * self.words[rows]).sum(axis=0)
-            np.add.at(self.words, rows, -rate / 5 * step)
+        steps = (back[:, None, :] * self.places).reshape(-1, WIDTH)
+        self.places[...] -= rate / len(wanted) * np.einsum("nw,njw->jw", back, vectors)
+        rows = context.ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        self.words[rows[heads]] -= rate / 5 * np.add.reduceat(steps[order], heads, axis=0)
 
 
 class Vocabulary(NamedTuple):
-    """Class of each bucket, and its log-share within the class."""
+    """Class of each bucket, its log-share within the class, and its words and one unseen."""
 
     class_of: np.ndarray
     log_share: np.ndarray
     class_share: np.ndarray
+    smooth: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Vocabulary:
@@ -108,22 +118,39 @@ class Vocabulary(NamedTuple):
         class_of[order[:OWN]] = np.arange(OWN)
         class_of[order[OWN:]] = OWN + np.arange(BUCKETS - OWN) % (CLASSES - OWN)
         totals = np.bincount(class_of, smooth, CLASSES)
-        return cls(class_of, np.log(smooth / totals[class_of]), totals / totals.sum())
+        return cls(class_of, np.log(smooth / totals[class_of]), totals / totals.sum(), smooth)
+
+
+class Often(NamedTuple):
+    """The hashes of frequent words in order, and the log of their counts."""
 
+    words: np.ndarray
+    log_count: np.ndarray
+
+    def places_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each word, whether it is there)."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return at, self.words[at] == words
 
-def _buckets(texts: list[str | None], chars: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets of the words, words per text) of groups of texts."""
+
+def _words(texts: list[str | None], chars: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words, words per text) of groups of texts."""
     group: list[str] = []
     size = 0
     for i, text in enumerate(texts):
         group.append(text or "")
         size += len(group[-1])
         if size > chars or i == len(texts) - 1:
-            words, counts = word_hashes(group)
-            yield (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), counts
+            yield word_hashes(group)
             group, size = [], 0
 
 
+def bucket_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def contexts(buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The words around each word, from its own text only; PAD beyond its ends."""
     ends = np.cumsum(counts)
@@ -137,30 +164,75 @@ def contexts(buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the 64-bit hash of every word of the documents and its count, written."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, _ in _words(batch.column(0).to_pylist(), 1 << 20):
+                words, n = np.unique(group, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    found = docs.select(text).mapInArrow(counted, "word long, n long")
+    return written(found.groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def bucket_sums(counts: DataFrame) -> np.ndarray:
+    """Words per bucket from ``word_counts``."""
+    bucket = F.shiftrightunsigned("word", 64 - BUCKET_BITS).alias("bucket")
+    sums = counts.groupBy(bucket).agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return out
+
+
 def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Words per bucket over all documents."""
+    return bucket_sums(word_counts(docs, text))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        counts = np.zeros(BUCKETS)
-        for batch in batches:
-            for buckets, _ in _buckets(batch.column(0).to_pylist()):
-                counts += np.bincount(buckets, minlength=BUCKETS)
-        return counts
 
-    return task_sums(docs.select(text), counted, BUCKETS)
+def often(counts: DataFrame, most: int | None = None) -> Often:
+    """The most frequent words of ``word_counts``, at most ``most`` (OFTEN) of them.
+
+    A bar on the count, from a histogram of its magnitudes, picks them on the executors.
+    """
+    most = OFTEN if most is None else most
+    level = F.floor(F.log2("n") * 8)
+    sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
+    bar, taken = None, 0
+    for magnitude, size in sizes:
+        taken += size
+        if taken > most:
+            break
+        bar = magnitude
+    if bar is None:
+        return Often(np.empty(0, np.uint64), np.empty(0))
+    rows = counts.where(level >= bar).toArrow()
+    words = rows["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return Often(words[order], np.log(rows["n"].to_numpy())[order])
+
+
+def masks(counts: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """The words, by place, that round ``number`` masks; each word is in one of the rounds."""
+    ends = np.cumsum(counts)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+    mixed = _mixed((place.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+    return np.flatnonzero(mixed % np.uint64(rounds) == number)
 
 
 def train_on(
     network: Network, vocabulary: Vocabulary, groups: Iterator[tuple[np.ndarray, np.ndarray]],
-    masked: float, rate: float, rng: np.random.Generator, batch: int = 64,
+    number: int, rounds: int, rate: float, rng: np.random.Generator, batch: int = 64,
 ) -> int:
-    """Train in place on a masked share of the words of each group; the words trained on."""
+    """Train in place on the words of each group that the round masks; the words trained on."""
     trained = 0
-    for buckets, counts in groups:
-        chosen = np.flatnonzero(rng.random(len(buckets)) < masked)
+    for words, counts in groups:
+        chosen = masks(counts, number, rounds)
         if not len(chosen):
             continue
         rng.shuffle(chosen)
+        buckets = bucket_of(words)
         context = contexts(buckets, counts)[chosen]
         wanted = vocabulary.class_of[buckets[chosen]]
         for at in range(0, len(chosen), batch):
@@ -171,7 +243,7 @@ def train_on(
 
 def train(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
-    rounds: int = 2, masked: float = 0.1, rate: float = 1.0, seed: int = 9,
+    rounds: int = 2, rate: float = 1.0, seed: int = 9,
 ) -> Network:
     """Rounds of local training over all documents and averaging of the weights."""
     network = Network.start(vocabulary.class_share, seed)
@@ -185,7 +257,8 @@ def train(
             rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
             words = 0
             for rows in batches:
-                words += train_on(own, vocabulary, _buckets(rows.column(0).to_pylist()), masked, step, rng)
+                groups = _words(rows.column(0).to_pylist())
+                words += train_on(own, vocabulary, groups, number, rounds, step, rng)
             return np.append(own.flat() * words, words)
 
         total = task_sums(docs.select(text), trained, len(network.flat()) + 1)
@@ -194,38 +267,95 @@ def train(
     return network
 
 
+def bucket_logs(
+    buckets: np.ndarray, counts: np.ndarray, network: Network, vocabulary: Vocabulary, step: int = 4096
+) -> np.ndarray:
+    """Log-probability of the bucket of each word."""
+    context = contexts(buckets, counts)
+    wanted = vocabulary.class_of[buckets]
+    logs = vocabulary.log_share[buckets]
+    for at in range(0, len(buckets), step):
+        part = slice(at, at + step)
+        logs[part] += network.log_classes(context[part], wanted[part])
+    return logs
+
+
 def score_texts(
-    texts: list[str | None], network: Network, vocabulary: Vocabulary, step: int = 4096
+    texts: list[str | None], network: Network, vocabulary: Vocabulary
 ) -> Iterator[tuple[int, float | None, float | None]]:
-    """(words, summed log-probability, its mean per word) of each text; null without words."""
-    for buckets, counts in _buckets(texts):
-        context = contexts(buckets, counts)
-        wanted = vocabulary.class_of[buckets]
-        logs = vocabulary.log_share[buckets]
-        for at in range(0, len(buckets), step):
-            part = slice(at, at + step)
-            logs[part] += network.log_classes(context[part], wanted[part])
+    """(words, summed log-probability of their buckets, its mean) of each text; null without words."""
+    for words, counts in _words(texts):
+        logs = bucket_logs(bucket_of(words), counts, network, vocabulary)
         ends = np.cumsum(counts)
         for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
             total = float(logs[end - n : end].sum()) if n else None
             yield n, total, total / n if n else None
 
 
+def score_parts(
+    texts: list[str | None], network: Network, vocabulary: Vocabulary, known: Often
+) -> Iterator[tuple[int, float | None, np.ndarray]]:
+    """(words, summed log-probability with counts of 1 for the words not known, those words)."""
+    for words, counts in _words(texts):
+        buckets = bucket_of(words)
+        logs = bucket_logs(buckets, counts, network, vocabulary) - np.log(vocabulary.smooth[buckets])
+        at, there = known.places_of(words)
+        logs[there] += known.log_count[at[there]]
+        ends = np.cumsum(counts)
+        for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+            own = slice(end - n, end)
+            yield n, float(logs[own].sum()) if n else None, words[own][~there[own]]
+
+
 def scored(
-    docs: DataFrame, network: Network, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, network: Network, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per document: key, n_words, log_likelihood, mean_log_likelihood.
 
-    Whole texts are scored. Null, empty and blank texts have no words and null scores.
+    Whole texts are scored. Null, empty and blank texts have no words and null scores. Exact words
+    are scored by ``counts``, the ``word_counts`` of the corpus, by default of ``docs``.
     """
-    fields = "n_words long, log_likelihood double, mean_log_likelihood double"
-    return per_text(docs, key, text, fields, lambda texts: score_texts(texts, network, vocabulary))
+    counts = word_counts(docs, text) if counts is None else counts
+    known = often(counts)
+    fields = "n_words long, __row long, __part double, __rest array<long>"
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(fields)])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            n, part, rest = [], [], [np.empty(0, np.uint64)]
+            for words, total, others in score_parts(batch.column(1).to_pylist(), network, vocabulary, known):
+                n.append(words)
+                part.append(total)
+                rest.append(others)
+            ends = pa.array(np.cumsum([len(x) for x in rest]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rest).view(np.int64)))
+            rows = pa.array(np.arange(row, row + len(n)), pa.int64())
+            row += len(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), rows, pa.array(part, pa.float64()), lists],
+                names=schema.names,
+            )
+
+    found = written(docs.select(docs[key], docs[text]).mapInArrow(parts, schema))
+    # A count of 1 has the logarithm 0. Whole numbers add up the same in any order.
+    log_count = (F.log("n") * float(1 << 32)).cast("long")
+    rest = found.select("__row", F.explode("__rest").alias("word")).join(counts.where("n > 1"), "word")
+    own = rest.groupBy("__row").agg(F.sum(log_count).alias("__own"))
+    total = F.col("__part") + F.coalesce(F.col("__own") / float(1 << 32), F.lit(0.0))
+    return found.drop("__rest").join(own, "__row", "left").select(
+        key, "n_words", total.alias("log_likelihood"), (total / F.col("n_words")).alias("mean_log_likelihood"),
+    )
 
 
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """Train on ``docs`` and score each of them."""
-    vocabulary = Vocabulary.of(bucket_counts(docs, text))
-    return scored(docs, train(docs, vocabulary, text, **settings), vocabulary, key, text)
+    counts = word_counts(docs, text)
+    vocabulary = Vocabulary.of(bucket_sums(counts))
+    return scored(docs, train(docs, vocabulary, text, **settings), vocabulary, key, text, counts)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

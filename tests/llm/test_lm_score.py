@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from anbar.llm import lm_score as lm
 
@@ -71,3 +72,44 @@ def test_edges(spark):
     assert len(out) == 5
     assert {r["doc_id"] for r in out if r["mean_log_likelihood"] is None} == {1, 2}
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
+
+
+def test_words_of_one_bucket_have_their_own_probability(spark):
+    words = [f"w{i}" for i in range(3000)]
+    buckets = lm.bucket_of(lm.word_hashes([" ".join(words)])[0]).tolist()
+    seen = {}
+    common, rare = next((seen[b], w) for w, b in zip(words, buckets, strict=True) if b in seen or seen.update({b: w}))
+    docs = spark.createDataFrame([(i, common) for i in range(500)] + [(500, rare)], "doc_id long, text string")
+    by = {r["doc_id"]: r["log_likelihood"] for r in lm.pseudo_likelihood(docs).collect()}
+    assert abs(by[0] - by[500] - np.log(500)) < 1e-6
+
+
+@pytest.mark.parametrize("most", [0, 3, 10**6])
+def test_exact_words_equal_plain_counts(spark, monkeypatch, most):
+    texts = ["the cat sat on the mat", "the dog", "a cat a dog a mouse", "", "the the the", None, "unique words here"]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    monkeypatch.setattr(lm, "OFTEN", most)
+    counts = lm.word_counts(docs)
+    vocabulary = lm.Vocabulary.of(lm.bucket_sums(counts))
+    network = lm.Network.start(vocabulary.class_share, 1)
+    plain = {}
+    for w in " ".join(filter(None, texts)).split():
+        plain[w] = plain.get(w, 0) + 1
+    expected = []
+    for t, (n, total, _) in zip(texts, lm.score_texts(texts, network, vocabulary), strict=True):
+        for w in (t or "").split():
+            b = int(lm.bucket_of(lm.word_hashes([w])[0])[0])
+            total += np.log(plain[w] / vocabulary.smooth[b])
+        expected.append((n, total))
+    rows = [(r["n_words"], r["log_likelihood"]) for r in lm.scored(docs, network, vocabulary, counts=counts).collect()]
+    key = lambda r: (r[0], r[1] or 0)
+    assert len(rows) == len(texts)
+    for (n, total), (m, wanted) in zip(sorted(rows, key=key), sorted(expected, key=key), strict=True):
+        assert n == m and (total is None if wanted is None else abs(total - wanted) < 1e-5)
+
+
+def test_rounds_mask_every_word_once():
+    counts = np.array([5, 0, 1, 1000])
+    for rounds in (1, 2, 3):
+        masked = [lm.masks(counts, number, rounds) for number in range(rounds)]
+        assert sorted(np.concatenate(masked).tolist()) == list(range(1006))
