@@ -25,7 +25,7 @@ from anbar.sources.tables import parse_working_days
 
 CFG = Config()
 
-# The library's grids are larger; these keep a check run short.
+# Smaller grids for tests; the registered queries use the full ones.
 SMALL = replace(
     CFG,
     rf_trees=20, rf_depths=(3, 5), rf_leaf_rows=(1,),
@@ -372,15 +372,15 @@ def sequences(spark, sf):
 
 def fitted(code, spark, sf):
     panel, names, f = cached(spark, sf)
-    train = split.add_folds(panel, f.products, SMALL)
-    model = whole.FITTERS[code](train, names, SMALL)
+    train = split.add_folds(panel, f.products, REPORT)
+    model = whole.FITTERS[code](train, names, REPORT)
     return panel, model
 
 
 def grid_eval(code):
     def query(spark, sf):
         panel, model = fitted(code, spark, sf)
-        _, test = split.split_panel(panel, SMALL)
+        _, test = split.split_panel(panel, REPORT)
         scores = model.transform(test)
         return finished(
             panel, metrics.model_row(scores, "target", "prediction", MODEL_NAMES[code])
@@ -391,14 +391,14 @@ def grid_eval(code):
 
 def tree_forecast(spark, sf):
     panel, model = fitted("rf", spark, sf)
-    rows = forecast.recursive_forecast(panel, tree.predictor(model), MODEL_NAMES["rf"], SMALL)
+    rows = forecast.recursive_forecast(panel, tree.predictor(model), MODEL_NAMES["rf"], REPORT)
     return finished(panel, rows)
 
 
 def series_forecast(code, keys=()):
     def query(spark, sf):
         panel, _, _ = cached(spark, sf)
-        result = series.forecast_series(panel, code, MODEL_NAMES[code], SMALL, keys)
+        result = series.forecast_series(panel, code, MODEL_NAMES[code], REPORT, keys)
         return finished(panel, result.forecasts)
 
     return query
@@ -458,7 +458,7 @@ def report_sheets(spark, sf):
 
 def seq_forecast(spark, sf):
     panel, names, _ = cached(spark, sf)
-    result = sequence.forecast_sequences(panel, names, MODEL_NAMES["seq"], SMALL)
+    result = sequence.forecast_sequences(panel, names, MODEL_NAMES["seq"], REPORT)
     return finished(panel, result.forecasts)
 
 
@@ -480,7 +480,7 @@ def seq_rollout_mean(spark, sf):
 
 def importance_table(spark, sf):
     panel, names, _ = cached(spark, sf)
-    return finished(panel, tree.importance_table(panel.frame, names, SMALL))
+    return finished(panel, tree.importance_table(panel.frame, names, REPORT))
 
 
 def model_evaluation(spark, sf):
@@ -494,7 +494,7 @@ def full_run(spark, sf):
 def _run(spark, sf, models):
     raw = stock_view.raw_transactions(spark, sf, labels=True)
     calendar = parse_working_days(stock_view.working_days(spark, sf))
-    return whole.run(raw, calendar, SMALL, models)
+    return whole.run(raw, calendar, REPORT, models)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

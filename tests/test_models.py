@@ -7,17 +7,19 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from anbar.__main__ import arguments, main
 from anbar.config import Config, model_codes
-from anbar.models import sequence, series
+from anbar.models import sequence, series, tree
 from anbar.operators.abc import abc_export
 from anbar.operators.panel import Panel
 from anbar.plans.run import run
 from anbar.sources import stock_view
 from anbar.sources.sinks import persian_headers
 from anbar.sources.tables import parse_working_days
+from catalog import spark_queries
 from catalog.spark_queries import SMALL
 
 CFG = Config()
@@ -206,3 +208,35 @@ def test_job_on_csv_files(spark, tmp_path):
     assert spark.read.parquet(str(out / "PowerBI_Data")).count() == 49
     with pytest.raises(SystemExit):
         arguments(["--transactions", "a", "--calendar", "b", "--out", "c", "--models", "other"])
+
+
+def test_registered_model_queries_use_the_shipped_grids(monkeypatch):
+    seen = []
+    monkeypatch.setattr(spark_queries.whole, "run", lambda raw, calendar, cfg, models: seen.append(cfg))
+    monkeypatch.setattr(spark_queries.stock_view, "raw_transactions", lambda *a, **k: None)
+    monkeypatch.setattr(spark_queries.stock_view, "working_days", lambda *a, **k: None)
+    monkeypatch.setattr(spark_queries, "parse_working_days", lambda *a: None)
+    spark_queries._run(None, SF, "all")
+    fits = {"rf": lambda train, names, cfg: seen.append(cfg)}
+    monkeypatch.setattr(spark_queries, "cached", lambda *a: (None, [], type("Facts", (), {"products": None})))
+    monkeypatch.setattr(spark_queries.split, "add_folds", lambda *a: None)
+    monkeypatch.setattr(spark_queries.whole, "FITTERS", fits)
+    spark_queries.fitted("rf", None, SF)
+    assert [replace(cfg, report_from_year=CFG.report_from_year) for cfg in seen] == [CFG, CFG]
+
+
+def test_booster_search_scores_shorter_fits_from_the_longest(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(3 * a - b * b + rng.normal(0, 0.3)), i * 3 // 300)
+            for i, (a, b) in enumerate(rng.random((300, 2)) * 4)]
+    train = spark.createDataFrame(rows, "a double, b double, target double, fold int").coalesce(1)
+    cfg = replace(CFG, gbt_rounds=(3, 9), gbt_depths=(2, 3), gbt_rates=(0.1, 1.0), gbt_leaf_rows=(1,), max_bins=16)
+    rows = tree.assembler(["a", "b"]).transform(train).cache()
+    gbt = tree.booster(cfg)
+    grid = (
+        ParamGridBuilder().addGrid(gbt.maxIter, cfg.gbt_rounds).addGrid(gbt.maxDepth, cfg.gbt_depths)
+        .addGrid(gbt.stepSize, cfg.gbt_rates).addGrid(gbt.minInstancesPerNode, cfg.gbt_leaf_rows).build()
+    )
+    one_by_one, shared = tree.search(gbt, grid, rows, cfg), tree.search_booster(gbt, rows, cfg)
+    assert shared.toDebugString.split("\n")[1:] == one_by_one.toDebugString.split("\n")[1:]
+    assert shared.getNumTrees == one_by_one.getNumTrees
