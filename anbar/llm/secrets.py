@@ -3,8 +3,9 @@
 Fixed patterns find the known shapes (`assign`, `access`, `hex`). Beyond them, a lexer reads
 source and configuration syntax as pairs of a name and a literal: ``name = "x"``,
 ``name: x``, ``"name": "x"``, ``name := 'x'``, ``name => "x"``, ``put("name", "x")``,
-``<name>x</name>``, and strings joined by ``+``. A literal may reach a sensitive name over
-other names (``a = "x"`` and later ``password = a``); such constants are propagated. Each
+``<name>x</name>``, and strings joined by ``+``. A type may stand between (``name: str = "x"``,
+``name string = "x"``, ``char name[] = "x"``). A literal may reach a sensitive name over other
+names (``a = "x"`` and later ``password = a``, ``password = a = "x"``); such constants are propagated. Each
 literal is scored by the most sensitive name it reaches and by how random it looks. Literals
 above the bar become spans of kind ``named``.
 """
@@ -49,12 +50,34 @@ PLACEHOLDERS = {
     "placeholder", "changethis", "redacted", "your_password", "yourpassword",
 }
 
+#: Words of messages: a literal of words with one of them is no passphrase.
+MESSAGE = {
+    "a", "an", "and", "are", "at", "be", "by", "can", "cannot", "do", "does", "enter", "for", "from", "has",
+    "have", "in", "incorrect", "invalid", "is", "it", "missing", "must", "my", "new", "no", "not", "of", "on",
+    "or", "password", "please", "required", "should", "that", "the", "this", "to", "use", "was", "were",
+    "will", "with", "wrong", "you", "your",
+}
+
 _STRING = r'"(?:[^"\\\n]|\\.)*+"' + r"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 _NAME = r"[A-Za-z_$][\w$.-]*+"
+#: After a colon: references and pointers, a name with arguments, alternatives.
+_TYPE = (
+    r"[&*?]*+(?:'[a-z_]\w*+[ \t]++)?(?:mut[ \t]++)?[A-Za-z_][\w.]*+(?:::\w++)*+"
+    r"(?:[<\[][^\n=;\"`]{0,80}?[>\]])?[?!*&]*+(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+"
+)
+#: Behind the name without a colon only known types, as `String name = "x"` looks the same.
+_TYPE_WORD = (
+    r"(?:\*|\[\])*+(?i:string|str|bytes?|char|text|any|interface\{\}|"
+    r"n?(?:var)?char2?[ \t]*+\([ \t]*+\w++[ \t]*+\)|n?varchar2?)\??"
+)
 PAIR = re.compile(
-    rf"(?<![\w$.-])(?:--?)?(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)\]?[ \t]*+"
-    rf"(?:(?::=|=>|=(?!=)|:(?!//))[ \t]*+|(?P<comma>,)[ \t]*+(?=[\"'`]))"
-    rf"(?P<value>(?:{_STRING})(?:[ \t]*+\+[ \t]*+(?:{_STRING}))*+|[^\s\"'`,;(){{}}\[\]<>]++)",
+    rf"(?<![\w$.-])(?:--?)?(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)(?:\]|\[(?P<index>\w*+)\])?+[ \t]*+"
+    rf"(?:(?::[ \t]*+{_TYPE}|(?<=[ \t]){_TYPE_WORD})[ \t]*+=(?![=>])[ \t]*+"
+    rf"|(?::=|=>|=(?!=)|:(?!//))[ \t]*+|(?P<comma>,)[ \t]*+(?=[\"'`]))"
+    rf"(?:(?P<literal>(?:{_STRING})(?:[ \t]*+\+[ \t]*+(?:{_STRING}))*+)"
+    # An inner name of a chain is left for the next match.
+    rf"|(?=(?P<inner>{_NAME})(?:[ \t]++=(?!=)[ \t]*+(?=[\"'`\w$])|=[\"'`]))"
+    rf"|(?P<bare>[^\s\"'`,;(){{}}\[\]<>]++))",
     re.ASCII,
 )
 ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]++)</(?P=name)>", re.ASCII)
@@ -76,7 +99,12 @@ def name_score(name: str) -> float:
 def literal_score(text: str) -> float:
     """How random a literal looks, 0 to 1: its entropy in bits over 48, 0 for placeholders."""
     low = text.lower()
-    if len(text) < LEAST_CHARS or low in PLACEHOLDERS or " " in text or "\t" in text:
+    if len(text) < LEAST_CHARS or low in PLACEHOLDERS:
+        return 0.0
+    words = low.split()
+    if len(words) > 1 and (
+        MESSAGE & {w.strip(".,:;!?") for w in words} or len(words) < 3 and all(w.isalpha() for w in words)
+    ):
         return 0.0
     if low.startswith(("${", "{{", "<", "$(", "%(", "your", "http://", "https://")):
         return 0.0
@@ -92,14 +120,22 @@ def literal_score(text: str) -> float:
 def _pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
     """(name, literal or bare word, places of its pieces, whether it is quoted)."""
     for m in PAIR.finditer(text):
-        value, at = m["value"], m.start("value")
-        if value[0] in "\"'`":
+        # table[name] = "x" sets name, name[n] = "x" too
+        names = [m["name"], m["index"]] if m["index"] and not m["index"].isdigit() else [m["name"]]
+        if m["literal"]:
             if m["comma"] and not m["q"]:
                 continue  # f(x, "y"): x is no name of y
-            spans = [(at + p.start() + 1, at + p.end() - 1) for p in PIECE.finditer(value)]
-            yield m["name"], "".join(text[a:b] for a, b in spans), spans, True
+            at = m.start("literal")
+            spans = [(at + p.start() + 1, at + p.end() - 1) for p in PIECE.finditer(m["literal"])]
+            value, quoted = "".join(text[a:b] for a, b in spans), True
+        elif m["inner"]:
+            value, spans, quoted = m["inner"], [m.span("inner")], False
         elif not text.startswith("(", m.end()):  # a call is no literal
-            yield m["name"], value, [m.span("value")], False
+            value, spans, quoted = m["bare"], [m.span("bare")], False
+        else:
+            continue
+        for name in names:
+            yield name, value, spans, quoted
     for m in ELEMENT.finditer(text):
         yield m["name"], m["value"], [m.span("value")], False
 
@@ -158,10 +194,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """The base spans, and all spans. A literal inside a base span is not told twice."""
     base = base_spans(text)
     named = []
-    if "=" in text or ":" in text or "</" in text or '",' in text or "'," in text:
-        for a, b in named_literals(text):
-            if not any(s <= a and b <= e for s, _, e in base):
-                named.append((a, 3, b))
+    for a, b in named_literals(text):
+        if not any(s <= a and b <= e for s, _, e in base):
+            named.append((a, 3, b))
     return base, sorted(base + named)
 
 

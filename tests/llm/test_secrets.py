@@ -81,3 +81,33 @@ def test_edges(spark):
     assert by[3]["spans"] == "hex:0:300000"
     assert by[2**62 + 1]["n_hex"] == 1
     assert scan_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_declarations_with_a_type():
+    for text in (
+        f'password: str = "{KEY}"', f'const token: string = "{KEY}";', f'val apiKey: String = "{KEY}"',
+        f'let secret: &str = "{KEY}";', f"const SECRET: &'static str = \"{KEY}\";", f'var password string = "{KEY}"',
+        f'password: Optional[str] = "{KEY}"', f'password: Optional[List[str]] = "{KEY}"', f'char password[] = "{KEY}";',
+        f'char password[64] = "{KEY}";', f'char password[MAX_LEN] = "{KEY}";', f'password: str | None = "{KEY}"',
+        f'let token: String? = "{KEY}"', f'secret: std::string = "{KEY}"', f"DECLARE @password NVARCHAR(50) = '{KEY}'",
+        f'String password = "{KEY}";', f'const string token = "{KEY}";', f'def f(password: str = "{KEY}"):',
+        f'config[password] = "{KEY}"', f'put("password" , "{KEY}")', f'a = "{KEY}"\npassword: str = a',
+    ):
+        assert named(text) == [KEY], text
+    assert named(f'title: str = "{KEY}"') == named(f'var title string = "{KEY}"') == []
+
+
+def test_chains_and_passphrases():
+    assert named(f'password = x = "{KEY}"') == named(f'password = x = y = "{KEY}"') == named(f'x = password = "{KEY}"') == [KEY]
+    assert named(f'password=x="{KEY}"') == [KEY]
+    assert named('token=pA9xK2mQ7vR4tL8w= B=2') == ['pA9xK2mQ7vR4tL8w=']
+    assert named('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert named('authorization: "Bearer pA9xK2mQ7vR4tL8wZ3"') == ["Bearer pA9xK2mQ7vR4tL8wZ3"]
+    for text in ("Please enter your password", "Password is required", "top secret"):
+        assert named(f'password = "{text}"') == [], text
+
+
+def test_literals_of_many_names_take_linear_time():
+    for text in ("a=" * 100_000, "a = " * 100_000, "a: b[" * 60_000, "a: " * 100_000, "x: s | " * 50_000):
+        assert scan(text)[0] == []
+    assert scan('put("password" , "%s")' % KEY)[1]
