@@ -17,6 +17,7 @@ documents that meet in several bands are resolved once. Larger groups are dealt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -314,23 +315,34 @@ def _links(cells: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     return written(cells.groupBy("cell", "chunk", "other").applyInArrow(_resolver(idf, similarity), "a long, b long"))
 
 
+def bands_for(similarity: float, rows: int, miss: float) -> int:
+    """The bands with which a pair of that similarity never meets with at most ``miss``."""
+    if similarity >= 1:
+        return 1
+    return max(1, math.ceil(math.log(miss) / math.log1p(-(similarity**rows))))
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     similarity: float = 0.8,
-    bands: int = 8,
+    bands: int | None = None,
     rows: int = 3,
     cell_rows: int = 64,
     broadcast_rows: int = 500_000,
+    miss: float = 2e-4,
 ) -> DataFrame:
     """(key, component_id, n_copies, kept), one row per row of ``docs``.
 
+    Without ``bands`` there are so many that a pair at ``similarity`` is missed with at most ``miss``.
+
     ``component_id`` is the smallest id of the group; ``n_copies`` counts the rows with the same
     words in the same order. A text below five words is one shingle. Texts without words, null
     or blank, are copies of each other. Rows that repeat an id share its verdict; rows without
     id stay as they are.
     """
+    bands = bands or bands_for(similarity, rows, miss)
     frequencies = document_frequencies(docs, text)
     idf = damped_idf(frequencies[:-1], frequencies[-1])
     signed = written(_signatures(docs, key, text, idf, bands, rows))

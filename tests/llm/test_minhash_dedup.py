@@ -118,3 +118,19 @@ def test_query_equals_all_pairs(spark):
     # Texts without five equal words in a row cannot link, so all pairs of the others suffice.
     expected = all_pairs(texts)
     assert sum(out[i] != expected[i] for i in out) <= 2
+
+
+def test_production_bands_follow_the_miss_probability(monkeypatch):
+    given = []
+    monkeypatch.setattr(m, "document_frequencies", lambda docs, text: np.ones(3))
+
+    def signatures(docs, key, text, idf, bands, rows):
+        given.append((1 - 0.8**rows) ** bands)
+        raise StopIteration
+
+    monkeypatch.setattr(m, "_signatures", signatures)
+    with pytest.raises(StopIteration):
+        m.near_duplicates(None)
+    assert given[0] <= 2e-4
+    assert m.bands_for(1.0, 3, 2e-4) == 1
+    assert m.bands_for(0.8, 3, 2e-4) == 12
