@@ -110,7 +110,7 @@ def test_terms():
 def test_edges(spark):
     docs = [(1, "cat dog"), (1, "cat dog"), (1, "cat"), (None, "cat dog"), (2, None), (3, ""), (4, "?"), (5, "dog " * 50_000)]
     items = [(7, "cat cat DOG"), (7, "dog"), (None, "cat"), (8, None), (9, ""), (10, "unknown"), (11, "Cat")]
-    a = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, item long, score int")
+    a = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, item string, score int")
     b = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
     assert found(search(a, b)) == sorted(plain_search(docs, items), key=str)
     assert search(a.limit(0), b).count() == 0
