@@ -39,6 +39,8 @@ LETTERS = bytes(
 #: Bytes of texts and number of documents from which on a shard is closed.
 SHARD_BYTES = 8 << 20
 SHARD_DOCS = 1 << 15
+#: Shards that a task answers: the best documents of one bound those of the next.
+TASK_SHARDS = 4
 #: Items are answered in blocks of about this many characters.
 BLOCK_CHARS = 4 << 20
 #: Documents of a block of bounds, and blocks that are scored together.
@@ -320,7 +322,8 @@ def search(
         words = {r["item"]: Counter(terms_of(r["text"])) for r in texts}
         terms = {t: j for j, t in enumerate(sorted(set().union(*words.values())), 1)}
         index = written(shards(docs, terms, key, text))
-        total = index.agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("words")).first()
+        sums = (F.count("*").alias("shards"), F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("words"))
+        total = index.agg(*sums).first()
         if not total["docs"]:
             break
         # One count per term of the items, of which a block has a bounded number.
@@ -331,7 +334,8 @@ def search(
         queries = [
             (item, [(terms[t], n) for t, n in found.items() if weights[terms[t]]]) for item, found in words.items()
         ]
-        mine = written(_searched(index, queries, weights, total["docs"], total["words"], k, "found"))
+        dealt = index.repartition(-(-total["shards"] // TASK_SHARDS))  # compact rows, but long work
+        mine = written(_searched(dealt, queries, weights, total["docs"], total["words"], k, "found"))
         answers = mine if answers is None else answers.unionByName(mine)
     if answers is None:
         kind = docs.schema[key].dataType.simpleString()

@@ -37,7 +37,7 @@ def classify(monthly: DataFrame, cfg: Config) -> DataFrame:
     ranked = running_totals(
         monthly,
         ["jalali_month"],
-        [F.col("month_qty").desc(), F.col("product_code")],
+        [-F.col("month_qty"), F.col("product_code")],
         {"qty": F.col("month_qty"), "rank": F.lit(1)},
     )
     total, running = F.col("total_qty"), F.col("run_qty")

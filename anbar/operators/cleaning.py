@@ -92,7 +92,7 @@ def label_dictionary(cleaned: DataFrame, columns=LABEL_COLUMNS, seq: str = "seq"
         F.min("__seq").alias("first_seen"), F.count("*").alias("n")
     )
     numbered = running_totals(
-        firsts, ["label"], [F.col("first_seen"), F.col("value")], {"row": F.lit(1)}
+        cut_lineage(firsts), ["label"], [F.col("first_seen"), F.col("value")], {"row": F.lit(1)}
     )
     return numbered.select(
         "label", "value", (F.col("run_row") - 1).cast("int").alias("code"), "n"

@@ -8,7 +8,7 @@ from pyspark.sql.types import NumericType
 
 from anbar.config import Config
 from anbar.functions.numbers import half_even
-from anbar.operators.prefix import breakpoints
+from anbar.operators.prefix import values_at
 
 NOT_FEATURES = (
     "product_code", "product_name", "month_start", "jalali_month",
@@ -58,12 +58,58 @@ def correlations(features: DataFrame, candidates: list[str], target: str = "targ
     )
 
 
-def bin_borders(features: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
-    """Equal-frequency bin borders of every column: at most bins-1 numbers each."""
-    values = unpivot(features, columns, "name", "value")
-    counted = values.groupBy("name", "value").agg(F.count("*").alias("n_rows"))
-    rows = breakpoints(counted, ["name"], "value", "n_rows", bins).collect()
-    return {row["name"]: sorted(set(row["v"])) for row in rows}
+#: Rank error of the first look at a border, as a share of all rows, is one in so many.
+ACCURACY = 10_000
+
+
+def bin_borders(
+    features: DataFrame, columns: list[str], bins: int, accuracy: int = ACCURACY
+) -> dict[str, list[float]]:
+    """Equal-frequency bin borders of every column, exact: the ceil(n*i/bins)-th values.
+
+    Selection by brackets, without turning the columns to rows: one aggregate finds a lower and
+    an upper value around each border, a second one counts the rows below and up to them. Only
+    rows inside of a bracket, a few in ``accuracy``, are then ranked by value, and none where
+    the bracket is a single value. A bracket that missed its border is opened to all values.
+    """
+    shares = [min(max(i / bins + d, 0.0), 1.0) for i in range(1, bins) for d in (-3 / accuracy, 3 / accuracy)]
+    ends = features.agg(
+        F.count("*").alias("n"),
+        *[F.percentile_approx(c, shares, accuracy).alias(f"ends_{i}") for i, c in enumerate(columns)],
+    ).first()
+    n = ends["n"]
+    if not n:
+        return {c: [] for c in columns}
+    ranks = [-(-n * i // bins) for i in range(1, bins)]
+    brackets = [list(zip(ends[f"ends_{i}"][::2], ends[f"ends_{i}"][1::2], strict=True)) for i in range(len(columns))]
+    below = {(i, low): f"b{i}_{k}" for i, b in enumerate(brackets) for k, low in enumerate({x for x, _ in b})}
+    up_to = {(i, high): f"u{i}_{k}" for i, b in enumerate(brackets) for k, high in enumerate({x for _, x in b})}
+    counts = features.agg(
+        *[F.count_if(F.col(columns[i]) < low).alias(name) for (i, low), name in below.items()],
+        *[F.count_if(F.col(columns[i]) <= high).alias(name) for (i, high), name in up_to.items()],
+    ).first()
+
+    borders: dict[str, list[float]] = {c: [] for c in columns}
+    inside, places = [], {}
+    for i, c in enumerate(columns):
+        for k, ((low, high), rank) in enumerate(zip(brackets[i], ranks, strict=True)):
+            before = counts[below[i, low]]
+            found = before < rank <= counts[up_to[i, high]]
+            if found and low == high:
+                borders[c].append(low)
+                continue
+            key = i * bins + k
+            places[key] = rank - (before if found else 0)
+            match = F.col(c).between(low, high) if found else F.lit(True)
+            inside.append(F.when(match, F.struct(F.lit(key).alias("key"), F.col(c).alias("value"))))
+    if inside:
+        near = features.select(F.inline(F.array_compact(F.array(*inside))))
+        counted = near.groupBy("key", "value").agg(F.count("*").alias("n_rows"))
+        numbers = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+        place = F.element_at(numbers, F.col("key")).cast("long") - 1
+        for row in values_at(counted, ["key"], "value", "n_rows", [place]).collect():
+            borders[columns[row["key"] // bins]].append(row["v"][0])
+    return {c: sorted(set(found)) for c, found in borders.items()}
 
 
 def mutual_information(

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anbar.config import Config
+from anbar.functions.numbers import half_even
 from anbar.operators.joins import join_counted
 from anbar.operators.prefix import exact_quantiles
 from anbar.plans.session import cut_lineage
 
 QUARTILES = (0.25, 0.75)
+FENCE_PLACES = 9
 
 
 def log_quantity(qty: Column) -> Column:
@@ -53,12 +55,12 @@ def quantity_bounds(df: DataFrame, cfg: Config, weight: Column | None = None) ->
 
 
 def clipped_quantity(qty: Column, low: Column, high: Column) -> Column:
-    """Whole quantity, BIGINT. Only clipped rows go through exp: unclipped ones are
-    rounded as they are, so log/exp noise cannot flip a half."""
+    """Whole quantity, BIGINT. Only clipped rows go through exp: unclipped ones are rounded as
+    they are, and a fence is rounded to 9 places first, so log/exp noise cannot flip a half."""
     log_qty = log_quantity(qty)
     value = (
-        F.when(log_qty < low, F.expm1(low))
-        .when(log_qty > high, F.expm1(high))
+        F.when(log_qty < low, half_even(F.expm1(low), FENCE_PLACES))
+        .when(log_qty > high, half_even(F.expm1(high), FENCE_PLACES))
         .otherwise(F.greatest(qty, F.lit(0.0)))
     )
     return F.greatest(F.rint(value), F.lit(0.0)).cast("bigint")

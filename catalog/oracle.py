@@ -90,8 +90,8 @@ WINSOR = """logs AS (SELECT *, ln(1 + greatest(qty, 0)) AS lq FROM dated),
     treated AS (
         SELECT logs.* EXCLUDE (qty, lq), qty AS original_qty,
             CAST(greatest(round_even(
-                CASE WHEN lq < q1 - 1.5 * (q3 - q1) THEN exp(q1 - 1.5 * (q3 - q1)) - 1
-                     WHEN lq > q3 + 1.5 * (q3 - q1) THEN exp(q3 + 1.5 * (q3 - q1)) - 1
+                CASE WHEN lq < q1 - 1.5 * (q3 - q1) THEN round_even((exp(q1 - 1.5 * (q3 - q1)) - 1) * 1e9, 0) / 1e9
+                     WHEN lq > q3 + 1.5 * (q3 - q1) THEN round_even((exp(q3 + 1.5 * (q3 - q1)) - 1) * 1e9, 0) / 1e9
                      ELSE greatest(qty, 0) END, 0), 0) AS BIGINT) AS qty
         FROM logs JOIN quartiles USING (product_code))"""
 
@@ -460,8 +460,8 @@ ORACLE: dict[str, str] = {
     "raw_winsorized": with_(DIRTY, DIRTY_LOGS)
     + """SELECT l_orderkey, l_linenumber, product_code, qty AS original_qty,
             CAST(greatest(round_even(
-                CASE WHEN lq < q1 - 1.5 * (q3 - q1) THEN exp(q1 - 1.5 * (q3 - q1)) - 1
-                     WHEN lq > q3 + 1.5 * (q3 - q1) THEN exp(q3 + 1.5 * (q3 - q1)) - 1
+                CASE WHEN lq < q1 - 1.5 * (q3 - q1) THEN round_even((exp(q1 - 1.5 * (q3 - q1)) - 1) * 1e9, 0) / 1e9
+                     WHEN lq > q3 + 1.5 * (q3 - q1) THEN round_even((exp(q3 + 1.5 * (q3 - q1)) - 1) * 1e9, 0) / 1e9
                      ELSE greatest(qty, 0) END, 0), 0) AS BIGINT) AS qty FROM dq""",
     "quarantine_rows": with_(DIRTY)
     + """SELECT l_orderkey, l_linenumber, qty,

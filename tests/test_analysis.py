@@ -218,3 +218,23 @@ def test_recursive_forecast(spark):
     short = Panel(frame.where(F.col("month_start") >= months[1]), months[1], months[-1])
     got = forecast.recursive_forecast(short, by_mean, "mean", CFG).orderBy("horizon").collect()
     assert got[0]["forecast"] == 7.5
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_bin_borders_are_order_statistics(spark, accuracy):
+    """Also where the first look at a border is coarse; constants, ties and signs included."""
+    rng = np.random.default_rng(4)
+    data = {
+        "smooth": rng.normal(size=1500),
+        "tied": rng.integers(0, 4, 1500).astype(float),
+        "mostly": np.where(rng.random(1500) < 0.85, 0.0, rng.random(1500)),
+        "constant": np.full(1500, 7.0),
+    }
+    rows = list(zip(*[v.tolist() for v in data.values()], strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data))
+    for bins in (2, 10):
+        found = features.bin_borders(df, list(data), bins, accuracy)
+        for c, values in data.items():
+            ordered = np.sort(values)
+            assert found[c] == sorted({ordered[-(-1500 * i // bins) - 1] for i in range(1, bins)})
+    assert features.bin_borders(df.limit(0), list(data), 10) == {c: [] for c in data}

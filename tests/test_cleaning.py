@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from anbar.config import Config
 from anbar.functions import jalali
-from anbar.operators import cleaning
+from anbar.operators import cleaning, outliers
 from anbar.sources.tables import (
     parse_working_days,
     read_transactions,
@@ -216,3 +217,13 @@ def test_read_transactions_formats(spark, tmp_path):
         assert set(read_transactions(spark, out, fmt, schema).columns) == set(df.columns)
     with pytest.raises(ValueError, match="schema"):
         read_transactions(spark, str(tmp_path / "json"), "json")
+
+
+def test_fence_at_a_half(spark):
+    """Quartiles 11 and 47 put the lower fence at 0.5 up to the last bit: half to even is 0."""
+    quantities = [0.0, 11.0, 11.0, 11.0, 11.0, 20.0, 47.0, 47.0, 47.0, 47.0, 500.0]
+    rows = spark.createDataFrame([(1, q) for q in quantities], "product_code long, qty double")
+    bounds = outliers.quantity_bounds(rows, Config()).first()
+    assert abs(bounds["low"] - math.log(1.5)) < 1e-12 and abs(bounds["high"] - math.log(384)) < 1e-12
+    found = sorted((r.original_qty, r.qty) for r in outliers.winsorize(rows, Config()).collect())
+    assert found[0] == (0.0, 0) and found[-1] == (500.0, 383) and found[1] == (11.0, 11)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anbar.config import Config
+from anbar.operators import prefix
 from anbar.operators.joins import join_counted
 from anbar.operators.prefix import (
     breakpoints,
@@ -23,8 +24,10 @@ CFG = Config()
 
 
 @pytest.fixture()
-def many_blocks(spark):
-    """Stop Spark from merging small partitions, so groups cross block borders."""
+def many_blocks(spark, monkeypatch):
+    """Small blocks, and Spark does not merge small partitions."""
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(prefix, "STRIDE", 3)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield spark
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -39,7 +42,7 @@ def skewed_rows(n: int = 3000) -> list[tuple[int, int, int]]:
 def test_running_totals_across_blocks(many_blocks):
     rows = skewed_rows()
     df = many_blocks.createDataFrame(rows, "g int, o int, v bigint")
-    out = running_totals(df, ["g"], [F.col("o").desc()], {"v": F.col("v"), "n": F.lit(1)})
+    out = running_totals(df, ["g"], [-F.col("o")], {"v": F.col("v"), "n": F.lit(1)})
     got = {(r["g"], r["o"]): (r["run_v"], r["total_v"], r["run_n"], r["total_n"])
            for r in out.collect()}
     want = {}
@@ -59,6 +62,23 @@ def test_hot_group_is_spread_over_blocks(many_blocks):
     assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 1000
 
 
+def test_blocks_are_the_same_in_every_job(many_blocks):
+    """Block ids come from the rows, not from their partitions; null groups count, too."""
+    rows = [(None if i % 2 else 1, i, 1) for i in range(2000)]
+    df = many_blocks.createDataFrame(rows, "g int, o int, v bigint")
+    for parts in (1, 7):
+        out = running_totals(df.repartition(parts), ["g"], [F.col("o")], {"v": F.col("v")})
+        got = {r["o"]: (r["run_v"], r["total_v"]) for r in out.collect()}
+        assert got == {i: (i // 2 + 1, 1000) for i in range(2000)}
+
+
+def test_rows_cross_one_exchange(spark):
+    df = spark.createDataFrame(skewed_rows(), "g int, o int, v bigint")
+    out = running_totals(df, ["g"], [F.col("o")], {"v": F.col("v")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+
+
 def test_exact_quantiles_equal_numpy(many_blocks):
     rng = np.random.default_rng(3)
     groups = {g: rng.normal(size=n).round(2) for g, n in {1: 2000, 2: 9, 3: 1, 4: 2, 5: 777}.items()}
