@@ -25,6 +25,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument(
         "--checkpoints", help="shared folder for intermediate rows; default: spark.checkpoint.dir"
     )
+    parser.add_argument("--stages", help="shared folder that lets a stopped run go on behind its finished models")
     return parser.parse_args(args)
 
 
@@ -36,7 +37,9 @@ def main(args: list[str] | None = None) -> None:
     schema = text_columns() if chosen.format == "json" else None
     raw = read_transactions(spark, chosen.transactions, chosen.format, schema)
     calendar = read_working_days(spark, chosen.calendar)
-    outcome = run(raw, calendar, models=chosen.models, out_dir=chosen.out, headers=chosen.headers)
+    outcome = run(
+        raw, calendar, models=chosen.models, out_dir=chosen.out, headers=chosen.headers, stages_dir=chosen.stages
+    )
     for code in outcome.skipped:
         print(f"not fitted, too few months: {MODEL_NAMES[code]}")
 

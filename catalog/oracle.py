@@ -659,3 +659,6 @@ ORACLE: dict[str, str] = {
         ),
     ),
 }
+# Other ways to the same rows.
+ORACLE["abc_sheet"] = ORACLE["abc_export"]
+ORACLE["csv_reader"] = ORACLE["raw_cleaned"]

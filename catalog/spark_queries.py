@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anbar.config import MODEL_NAMES, Config
+from anbar.config import ABC_EXPORT_COLUMNS, CANONICAL_TO_PERSIAN, MODEL_NAMES, Config
 from anbar.functions import jalali
 from anbar.functions.numbers import half_even
 from anbar.functions.text import ARABIC_DIGITS, ascii_digits, number_from_text, persian_digits
@@ -20,8 +20,8 @@ from anbar.operators import panel as panels
 from anbar.plans import run as whole
 from anbar.plans.session import cut_lineage, ensure_checkpoint_dir
 from anbar.sources import stock_view
-from anbar.sources.sinks import write_bi_export, write_forecast_report
-from anbar.sources.tables import parse_working_days
+from anbar.sources.sinks import write_bi_export, write_forecast_report, write_sheet
+from anbar.sources.tables import parse_working_days, read_transactions
 
 CFG = Config()
 
@@ -151,6 +151,16 @@ def raw_cleaned(spark, sf):
     return dirty(spark, sf).select("seq.*", "product_code", "product_name", "qty")
 
 
+def csv_reader(spark, sf):
+    """All lines as CSV files under Persian headers, read by the reader and typed."""
+    path = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4()}"
+    rows = stock_view.dirty_transactions(spark, sf)
+    rows.select("seq.*", *[f"`{c}`" for c in rows.columns if c != "seq"]).write.option("header", True).csv(path)
+    read = cleaning.type_values(cleaning.rename_columns(read_transactions(spark, path, "csv")))
+    keys = [F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int")]
+    return read.select(*keys, "product_code", "product_name", "qty")
+
+
 def raw_dates(spark, sf):
     return dirty(spark, sf).select(
         "seq.*", "gregorian_date", "jalali_year", "jalali_month", "jalali_day", "g_weekday"
@@ -209,6 +219,15 @@ def abc_export(spark, sf):
     return abc.abc_export(abc.enrich(dated(spark, sf), CFG))
 
 
+def abc_sheet(spark, sf):
+    """The sheet that a run writes, from product-month facts, written and read back."""
+    f = panels.facts(prepared(spark, sf), CFG)
+    path = f"{ensure_checkpoint_dir(spark)}/abc-sheet-{uuid.uuid4()}"
+    write_sheet(abc.abc_sheet(f.months, f.abc), path, headers=True)
+    names = {CANONICAL_TO_PERSIAN.get(c, c): c for c in ABC_EXPORT_COLUMNS}
+    return spark.read.parquet(path).withColumnsRenamed(names)
+
+
 def bi_export(spark, sf):
     """The transaction export with label codes, written and read back."""
     raw = stock_view.raw_transactions(spark, sf, labels=True)
@@ -280,7 +299,8 @@ def feature_corr(spark, sf):
 
 def feature_mi(spark, sf):
     panel, names = featured(build(spark, sf))
-    return features.mutual_information(panel.frame, names, CFG)
+    panel = panel._replace(frame=panel.frame.persist())
+    return finished(panel, features.mutual_information(panel.frame, names, CFG))
 
 
 def top_features(spark, sf):
@@ -509,6 +529,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "winsorized_qty": winsorized("plain"),
     "winsorized_small_groups": winsorized("small"),
     "raw_cleaned": raw_cleaned,
+    "csv_reader": csv_reader,
     "raw_dates": raw_dates,
     "raw_winsorized": raw_winsorized,
     "quarantine_rows": quarantine_rows,
@@ -520,6 +541,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "abc_monthly_returns": abc_monthly("returns"),
     "abc_enriched": abc_enriched,
     "abc_export": abc_export,
+    "abc_sheet": abc_sheet,
     "bi_export": bi_export,
     "panel_grid": panel_grid,
     "panel_agg": panel_agg,

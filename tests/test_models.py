@@ -15,7 +15,9 @@ from anbar.config import Config, model_codes
 from anbar.models import sequence, series, tree
 from anbar.operators.abc import abc_export
 from anbar.operators.panel import Panel
+from anbar.plans import run as whole
 from anbar.plans.run import run
+from anbar.plans.stages import Stages, fingerprint
 from anbar.sources import stock_view
 from anbar.sources.sinks import persian_headers
 from anbar.sources.tables import parse_working_days
@@ -184,6 +186,50 @@ def test_whole_run_writes_every_sheet(spark, tmp_path):
     assert np.allclose(scores["RMSE"] ** 2, scores["MSE"])
 
 
+def test_stopped_run_goes_on(spark, tmp_path, monkeypatch):
+    """A run that fails in its second model keeps the first; other settings find nothing."""
+    raw = stock_view.raw_transactions(spark, SF, labels=True).where("seq.l_orderkey % 4 = 0").drop("seq")
+    raw = raw.withColumn("seq", F.monotonically_increasing_id())
+    calendar = parse_working_days(stock_view.working_days(spark, SF))
+    cfg = replace(SMALL, rf_depths=(2,), rf_trees=3, importance_trees=3, importance_rounds=2)
+    stages, calls = str(tmp_path / "stages"), []
+    mean = type("Mean", (), {"transform": lambda self, df: df.withColumn("prediction", F.col("rolling_mean_3"))})
+    monkeypatch.setattr(whole, "predictor", lambda model: model.transform)
+
+    def fit(code, fails=False):
+        def fitter(train, features, cfg):
+            calls.append(code)
+            if fails:
+                raise RuntimeError("lost")
+            return mean()
+
+        return fitter
+
+    monkeypatch.setattr(whole, "FITTERS", {"rf": fit("rf"), "gbt": fit("gbt", fails=True)})
+    with pytest.raises(RuntimeError, match="lost"):
+        run(raw, calendar, cfg, ["rf", "gbt"], stages_dir=stages)
+    monkeypatch.setattr(whole, "FITTERS", {"rf": fit("rf"), "gbt": fit("gbt")})
+    monkeypatch.setattr(whole, "importance_table", lambda *a: pytest.fail("made twice"))
+    out = run(raw, calendar, cfg, ["rf", "gbt"], stages_dir=stages)
+    assert calls == ["rf", "gbt", "gbt"]
+    assert {r["Model"] for r in out.sheets["Model_Evaluation"].collect()} == {"Random Forest", "Gradient Boosting"}
+    products = raw.select("product_code").distinct().count()
+    assert out.sheets["All_Products_Forecast"].count() == 2 * 6 * products
+    kept = spark.read.parquet(f"{stages}/manifest")
+    assert sorted(r["stage"] for r in kept.collect()) == ["gbt", "importance", "rf"]
+    key = kept.first()["fingerprint"]
+    assert Stages(spark, stages, key).done and not Stages(spark, stages, "other").done
+
+
+def test_fingerprint_follows_rows_and_settings(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "x int, y string")
+    same = fingerprint({"t": df.repartition(3)}, CFG)
+    assert same == fingerprint({"t": df.orderBy(F.desc("x")).select("y", "x")}, CFG)
+    assert same == fingerprint({"t": df}, CFG)
+    assert same != fingerprint({"t": df.distinct()}, CFG)
+    assert same != fingerprint({"t": df}, replace(CFG, seed=1))
+
+
 def test_job_on_csv_files(spark, tmp_path):
     lines = [" تاریخ ,کد کالا,مقدار (اصلی),نام کالا,انبار"]
     for year in (1401, 1402):
