@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anbar.llm.common import table
-from anbar.llm.packing import vocabulary
+from anbar.llm.common import table, vocabulary
 
 #: How a byte-level vocabulary splits a text into pieces.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -38,6 +37,8 @@ WIDTHS = (4, 8, 16, 48)
 NEVER = 1 << 30
 #: Entries of a look-up table; a full one becomes the older half, from which those in use come back.
 TABLE = 300_000
+#: Pieces from this length on are not remembered.
+LONG_PIECE = 256
 #: Characters of texts that go into one record batch of ids.
 BATCH_CHARS = 1 << 20
 
@@ -51,6 +52,28 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive slices whose sizes sum to about ``most``; each has one entry at least."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+class _Known(dict):
+    """Ids of known pieces; what is looked up in vain is noted."""
+
+    def __init__(self) -> None:
+        self.missing: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.missing.append(piece)
+
+
 class Bpe:
     """A byte-level BPE vocabulary from a tokenizer file."""
 
@@ -86,7 +109,7 @@ class Bpe:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.splitter = None
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
         self.older: dict[str, bytes] = {}
 
     # --- text to ids ---
@@ -197,29 +220,43 @@ class Bpe:
         bounds = [0, *(4 * np.cumsum(kept)[ends - 1]).tolist()]
         return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not in the table; short ones are remembered."""
+    def _learn(self, pieces: set[str]) -> None:
+        """Adds pieces that are not known."""
         found = {p: self.older[p] for p in pieces if p in self.older}
         found |= {p: self.special[p] for p in pieces if p in self.special}
         new = list(pieces.difference(found))
         if new:
             found.update(zip(new, self.encode_pieces(new), strict=True))
-        if len(self.known) > TABLE:
-            self.known, self.older = {}, self.known
-        self.known.update((p, x) for p, x in found.items() if len(p) < 256)
-        return found
+        self.known.update(found)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text. Pieces met first in any of the texts are merged together."""
+        if len(self.known) > TABLE:
+            self.known, self.older = _Known(), self.known
+        get, missing = self.known.__getitem__, self.known.missing
         split = [self.pieces(t) for t in texts]
-        found = [list(map(self.known.get, p)) for p in split]
-        behind = [i for i, f in enumerate(found) if None in f]
+        found, behind = [], []
+        for i, pieces in enumerate(split):
+            before = len(missing)
+            found.append(list(map(get, pieces)))
+            if len(missing) > before:
+                behind.append(i)
         if behind:
-            learned = self._learn({p for i in behind for p, x in zip(split[i], found[i], strict=True) if x is None})
+            new = set(missing)
+            missing.clear()
+            self._learn(new)
             for i in behind:
-                found[i] = [learned[p] if x is None else x for p, x in zip(split[i], found[i], strict=True)]
+                found[i] = list(map(get, split[i]))
+            for p in new:
+                if len(p) >= LONG_PIECE:
+                    del self.known[p]
         return [np.frombuffer(b"".join(f), "<u4") for f in found]
 
+    def of_each(self, texts: Sequence[str], chars: int = 1 << 19) -> Iterator[np.ndarray]:
+        """Ids of each text, worked on in groups of about ``chars`` characters."""
+        for a, b in slices([len(t) + 1 for t in texts], chars):
+            yield from self.encode(texts[a:b])
+
     # --- ids to text ---
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -237,18 +274,6 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
-def _slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive slices whose sizes sum to about ``most``; each has one entry at least."""
-    start = held = 0
-    for i, size in enumerate(sizes):
-        held += size
-        if held >= most:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encode(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -264,7 +289,7 @@ def encode(
         bpe = loaded(tokenizer)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in _slices([len(t or "") + 1 for t in texts], BATCH_CHARS):
+            for a, b in slices([len(t or "") + 1 for t in texts], BATCH_CHARS):
                 ids = bpe.encode([t or "" for t in texts[a:b]])
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32)
@@ -288,7 +313,7 @@ def decode(
         for batch in batches:
             rows = batch.column(batch.num_columns - 1)
             sizes = [n or 0 for n in rows.value_lengths().to_pylist()]
-            for a, b in _slices([n + 1 for n in sizes], BATCH_CHARS):
+            for a, b in slices([n + 1 for n in sizes], BATCH_CHARS):
                 texts = [bpe.decode(r or ()) for r in rows.slice(a, b - a).to_pylist()]
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=schema.names)

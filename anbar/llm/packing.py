@@ -11,10 +11,7 @@ look their sequence up in the runs.
 
 from __future__ import annotations
 
-import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -24,82 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anbar.llm.common import table, written
+from anbar.llm.bpe import loaded as token_ids
+from anbar.llm.common import table, vocabulary, written
 
 LENGTH = 2048
-#: Pieces of text as the byte-level vocabulary splits them, for the characters of PLAIN only.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Anything else, or a special token's text, is left to the tokenizer as a whole.
-PLAIN = re.compile(
-    r"[^\t\n\r -~À-ÖØ-öø-ſ©«·»¿¡"
-    r"–—‘’“”•…€]|<\|"
-)
-CACHE_PIECES = 400_000
-
-
-def _bytes(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit ids."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-class _Ids:
-    """Token ids of pieces of text as bytes. Bounded: beyond ``CACHE_PIECES`` the entries
-    become the older half, from which those still in use come back."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, pieces: list[list[str] | None]) -> None:
-        """Look new pieces up together, which is faster than one by one."""
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.older = {}, self.known
-        new = []
-        for p in set().union(*filter(None, pieces)).difference(self.known):
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append(p)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = _bytes(e.ids)
-
-    def of_each(self, texts: list[str], chars: int = 1 << 19) -> Iterator[np.ndarray]:
-        """Ids of each text. Texts are split in groups of about ``chars`` characters."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and size < chars:
-                size += len(texts[end])
-                end += 1
-            group = texts[at:end]
-            pieces = [None if PLAIN.search(t) else SPLIT.findall(t) for t in group]
-            self.learn(pieces)
-            for text, split in zip(group, pieces, strict=True):
-                if split is None:
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-                else:
-                    yield np.frombuffer(b"".join(map(self.known.__getitem__, split)), "<u4")
-            at = end
-
-
-_loaded: dict[str, _Ids] = {}
-
-
-def token_ids(path: str) -> _Ids:
-    """The tokenizer of a file, loaded once in a process."""
-    if path not in _loaded:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _loaded[path] = _Ids(path)
-    return _loaded[path]
-
 
 # --- the packing plan -------------------------------------------------------
 
@@ -292,11 +217,5 @@ def sequences(packed: DataFrame) -> DataFrame:
     return rows.select("sequence_id", F.flatten("rows.ids").alias("ids"))
 
 
-def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
