@@ -27,16 +27,17 @@ from anbar.llm.common import small, table, written
 
 BLOCK_CHARS = 64
 BLANKS = " \t\r\x0b\x0c"
+#: Where a line stands. Ids may repeat or be null, so the hash of the text tells rows apart.
+PLACE = ("id", "text_hash", "no")
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, no, line) of the non-blank lines, no from 0."""
+    """(id, text_hash, no, line) of the non-blank lines, no from 0."""
     split = docs.select(
-        F.col(key).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "raw")
-    )
-    return split.select("id", "no", F.trim("raw", F.lit(BLANKS)).alias("line")).where(
-        F.col("line") != ""
+        F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"),
+        F.posexplode(F.split(F.col(text), "\n")).alias("no", "raw"),
     )
+    return split.select(*PLACE, F.trim("raw", F.lit(BLANKS)).alias("line")).where(F.col("line") != "")
 
 
 def _hashes() -> dict[str, Column]:
@@ -84,7 +85,7 @@ def _blocks(lines: DataFrame, min_chars: int) -> DataFrame:
     end = F.least(start + BLOCK_CHARS, F.col("least"))
     inside = F.substring("line", start + 1, n - (F.col("least") - end) - start)
     return starts.select(
-        "id", "no", "h1", "h2",
+        *PLACE, "h1", "h2",
         (n > F.col("least")).alias("longer"),
         _gap_key(F.col("line"), F.col("least"), start, end, 2).alias("key"),
         inside.alias("inside"),
@@ -107,7 +108,7 @@ def _deletions(blocks: DataFrame) -> DataFrame:
         F.concat(replaced, whole)
     )
     return blocks.select(
-        "id", "no", "h1", "h2", "longer", "inside", F.explode(variants).alias("variant")
+        *PLACE, "h1", "h2", "longer", "inside", F.explode(variants).alias("variant")
     )
 
 
@@ -119,11 +120,11 @@ def _near_removed(firsts: DataFrame, lines: DataFrame, min_chars: int, broadcast
         meeting = F.broadcast(meeting)
     texts = lines.withColumns(_hashes()).join(meeting, "h1", "left_semi")
     candidates = texts.groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "no")).alias("at"), F.min("line").alias("line")
+        F.min(F.struct(*PLACE)).alias("at"), F.min("line").alias("line")
     )
-    candidates = written(candidates.select("at.id", "at.no", "h1", "h2", "line"))
+    candidates = written(candidates.select("at.*", "h1", "h2", "line"))
     variants = written(_deletions(_shared(_blocks(candidates, min_chars), "key")))
-    place = F.struct("id", "no", "inside")
+    place = F.struct(*PLACE, "inside")
     earliest = variants.groupBy("variant").agg(
         F.min(F.when(~F.col("longer"), place)).alias("short"),
         F.min(F.when(F.col("longer"), place)).alias("long"),
@@ -137,7 +138,7 @@ def _near_removed(firsts: DataFrame, lines: DataFrame, min_chars: int, broadcast
         .otherwise(F.col("short"))
     )
     pairs = met.withColumn("other", other).where(
-        F.struct("other.id", "other.no") < F.struct("id", "no")
+        F.struct(*[f"other.{c}" for c in PLACE]) < F.struct(*PLACE)
     )
     close = F.levenshtein("inside", F.col("other.inside"), 1).between(0, 1)
     return pairs.where(close).select("h1", "h2").distinct()
@@ -150,11 +151,12 @@ def kept_lines(
     min_near_chars: int = 16,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
-    """(id, nos): numbers of the lines that stay, for each id with at least one such line.
+    """(id, text_hash, nos): numbers of the lines that stay, for each text with at least one.
 
     A line below ``min_near_chars`` has an edit bound of 0, a longer one of 1; numbers of list
-    items are thus not taken for copies. Null texts have no lines. Rows that repeat a document
-    id and line number with the same line share their fate. Null ids count as the first.
+    items are thus not taken for copies. Null texts have no lines. Null ids come first; of rows
+    that repeat an id, the one whose text has the smaller hash. Equal rows, with the same id and
+    text, share their fate: they count as one.
     ``broadcast_rows`` bounds a broadcast of 8-byte hashes; beyond it the lines are shuffled.
     """
     lines = _lines(docs, key, text)
@@ -162,12 +164,12 @@ def kept_lines(
         lines.withColumns(_hashes())
         .withColumn("halves", _half_keys(min_near_chars))
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "no")).alias("at"), F.min("halves").alias("halves"))
-        .select("at.id", "at.no", "h1", "h2", "halves")
+        .agg(F.min(F.struct(*PLACE)).alias("at"), F.min("halves").alias("halves"))
+        .select("at.*", "h1", "h2", "halves")
     )
     near = _near_removed(firsts, lines, min_near_chars, broadcast_rows)
     stay = firsts.join(near, ["h1", "h2"], "left_anti")
-    return stay.groupBy("id").agg(F.collect_list("no").alias("nos"))
+    return stay.groupBy("id", "text_hash").agg(F.collect_list("no").alias("nos"))
 
 
 def line_dedup(
@@ -183,8 +185,10 @@ def line_dedup(
     ``report`` may name columns to add: {"lines": name, "kept": name} of non-blank lines.
     """
     kept = kept_lines(docs, key, text, min_near_chars)
-    kept = kept.select(F.col("id").alias("__id"), F.col("nos").alias("__nos"))
-    joined = docs.join(kept, docs[key].eqNullSafe(kept["__id"]), "left")
+    kept = kept.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("nos").alias("__nos"))
+    # The hash first: rows without an id must not meet in one task.
+    same = (F.xxhash64(docs[text]) == kept["__hash"]) & docs[key].eqNullSafe(kept["__id"])
+    joined = docs.join(kept, same, "left")
     numbered = F.transform(
         "__parts", lambda raw, i: F.when(F.trim(raw, F.lit(BLANKS)) == "", i)
     )
@@ -192,8 +196,7 @@ def line_dedup(
     steps = {
         "__parts": F.split(F.col(text), "\n"),
         "__blanks": F.array_compact(numbered),
-        # A repeated id may have lines of its other rows in the list.
-        "__stay": F.filter(mine, lambda i: i < F.size("__parts")),
+        "__stay": F.when(F.col(text).isNotNull(), mine),
         "__clean": F.array_join(
             F.transform(F.array_sort(F.concat("__stay", "__blanks")), lambda i: F.get("__parts", i)),
             "\n",

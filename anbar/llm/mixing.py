@@ -243,7 +243,8 @@ def mix(
     ``pass`` and ``order``, by which a shard is sorted. ``size`` gives words, null as 0.
     A source's passes: the whole part of target / words, and one partial pass that ends where
     the target is reached, within half a document. Null sources are a source of their own. Rows
-    that repeat a key share their fate. Sources without words are not taken.
+    with the same key, source and size share their fate; others with one key, or with none, are
+    drawn apart. Sources without words are not taken.
     """
     cfg = Config(broadcast_rows=broadcast_rows)
     rows = docs.select(
@@ -272,8 +273,8 @@ def mix(
         """Adds source_no, block and place; rows of sources without words go."""
         lookup = plan.select(*named, "docs", "source_no", "blocks")
         found = join_counted(found.withColumns(named), lookup, list(named), "docs", cfg)
-        block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "id"), F.col("blocks"))
-        place = F.xxhash64(F.lit(seed), F.lit("place"), "id")
+        block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "id", "size"), F.col("blocks"))
+        place = F.xxhash64(F.lit(seed), F.lit("place"), "id", "size")
         found = found.where(F.col("source_no").isNotNull())
         return found.withColumns({"block": block, "place": place}).drop(*named, "source", "blocks")
 
@@ -326,7 +327,7 @@ def mix(
         placed = F.broadcast(placed)
     mixed = in_blocks(rows).join(placed, ["source_no", "block"])
     mixed = mixed.where(F.col("cut").isNull() | (F.col("place") <= F.col("cut")))
-    own = F.xxhash64(F.lit(seed), F.lit("order"), "shard", "pass", "id")
+    own = F.xxhash64(F.lit(seed), F.lit("order"), "shard", "pass", "id", "size")
     return mixed.select("row", "shard", "pass", own.alias("order"))
 
 
@@ -340,19 +341,29 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = written(source_targets(sized))
     mixed = mix(sized, F.col("size"), targets=targets)
-    taken = mixed.groupBy(F.col("row.doc_id").alias("taken_id")).agg(
-        F.sum("row.size").alias("taken"), F.count("*").alias("n_taken"),
-        F.sort_array(F.collect_set("shard")).alias("shards"),
+    equal = ["doc_id", "source", "size"]
+    taken = mixed.select("row.*", "shard").groupBy(*[F.col(c).alias(f"taken_{c}") for c in equal]).agg(
+        F.count("*").alias("times"), F.sort_array(F.collect_set("shard")).alias("shards"),
     )
+    # Equal rows are taken equally often: each has its part of what all were taken.
+    copies = sized.groupBy(*equal).agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = copies.withColumnsRenamed({c: f"copied_{c}" for c in equal})
     named = _named(F.col("source"))
     lookup = targets.withColumns(named).select(
         *named, "docs", F.col("words").alias("source_size"), "target"
     )
     rows = join_counted(sized.withColumns(named), lookup, list(named), "docs", Config())
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")), "left")
+
+    def same(prefix: str) -> Column:
+        match = [F.col(c).eqNullSafe(F.col(f"{prefix}_{c}")) for c in equal]
+        return match[0] & match[1] & match[2]
+
+    joined = rows.join(taken, same("taken"), "left").join(copies, same("copied"), "left")
+    times = F.coalesce("times", F.lit(0)) / F.coalesce("copies", F.lit(1))
+    joined = joined.withColumn("n_taken", times.cast("long"))
     return joined.select(
         "doc_id", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).alias("taken"),
-        F.coalesce("n_taken", F.lit(0)).alias("n_taken"),
+        (F.col("n_taken") * F.col("size")).alias("taken"),
+        "n_taken",
         F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"),
     )

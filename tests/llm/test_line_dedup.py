@@ -81,3 +81,15 @@ def test_random_lines_equal_all_pairs(spark, seed):
     out = out.select("doc_id", "n_lines", "n_kept", F.md5("text").alias("text_md5"))
     n, problems = compare(out, con, SQL)
     assert n == 120 and not problems
+
+
+def test_repeated_and_null_ids(spark):
+    """One id on two texts, and texts without an id: no line is written twice, none is lost."""
+    first, second = "line number one, long\nline number two, long", "another line, long one\nline number one, long"
+    docs = rows_of(spark, [(1, first), (1, second), (None, "alpha line, long"), (None, "beta line, long enough"),
+                           (None, "gamma line, long enough\nalpha line, long"), (2, "gamma line, long enough")])
+    found = [r["text"] for r in line_dedup(docs).collect()]
+    lines = sorted(line for text in found for line in text.split("\n") if line)
+    assert lines == sorted({line for t in docs.collect() for line in t["text"].split("\n")})
+    assert "line number one, long" in "\n".join(found) and len(found) == 6
+    assert [r["text"] for r in line_dedup(docs.where("doc_id = 2")).collect()] == ["gamma line, long enough"]

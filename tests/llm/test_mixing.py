@@ -98,3 +98,26 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(docs.limit(0), word_count(F.col("text"))).count() == 0
     one = spark.createDataFrame([(1, None, "a b c"), (1, None, "a b c")], "doc_id long, source string, text string")
     assert mixing.mix(one, word_count(F.col("text"))).count() in (2, 4)
+
+
+def test_taken_goes_by_row(spark, tmp_path):
+    """Repeated and null ids: no row has more than twice its size, and equal rows have the same."""
+    rows = [(None, "x", 10 + i % 3) for i in range(30)] + [(None, None, 10)] * 3
+    rows += [(1, "x", 10), (1, "x", 10), (1, "y", 7), (1, "y", 9)] + [(i, "y", 20) for i in range(2, 60)]
+    docs = spark.createDataFrame([(a, b, "w " * n) for a, b, n in rows], "doc_id long, source string, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.op7_mixing(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    by_source, targets = Counter(), {}
+    for r in out:
+        assert r["taken"] <= 2 * r["size"] and r["taken"] == r["n_taken"] * r["size"]
+        by_source[r["source_size"]] += r["taken"]
+        targets[r["source_size"]] = r["target"]
+    for source_size, target in targets.items():
+        # Equal rows go together, at most three here.
+        assert abs(by_source[source_size] - target) <= 1.5 * 20 + 10
+    assert len({(r["taken"]) for r in out if (r["doc_id"], r["size"], r["source_size"]) == (1, 10, by_x(rows))}) == 1
+
+
+def by_x(rows):
+    return sum(n for _, source, n in rows if source == "x")
