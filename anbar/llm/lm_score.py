@@ -2,7 +2,8 @@
 
 A small network sees the two words on each side of a masked word and predicts it; the sum of
 the log-probabilities of all words, each masked in turn, scores a document. For the network words
-are hashed into a fixed number of buckets, and it predicts one of ``CLASSES`` classes of them.
+are hashed into a fixed number of buckets, and it predicts one of ``CLASSES`` classes of them on
+two levels, a group of classes and then a class of the group, so a word costs 2 * ``GROUPS`` scores.
 Within a class each exact word is as likely as in the corpus, and each bucket keeps one
 occurrence for words not seen, so the probabilities sum to one.
 
@@ -16,6 +17,7 @@ averaged by the words they trained on. What is exchanged grows with the number o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +31,8 @@ from anbar.llm.minhash_dedup import GOLDEN, _mixed, word_hashes
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-CLASSES = 256
+GROUPS = 16
+CLASSES = GROUPS * GROUPS
 OWN = 128
 WIDTH = 16
 SIDE = 2
@@ -38,22 +41,38 @@ OFTEN = 1 << 16
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
 
+def _probabilities(scores: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place."""
+    np.clip(scores, -60, 60, out=scores)
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=1, keepdims=True)
+    return scores
+
+
 class Network(NamedTuple):
-    """Word vectors (the last row pads), a factor per place, and the output layer."""
+    """Word vectors (the last row pads), a factor per place, and the two levels of the output.
+
+    Class c is member c // GROUPS of group c % GROUPS.
+    """
 
     words: np.ndarray
     places: np.ndarray
-    out: np.ndarray
-    bias: np.ndarray
+    group_out: np.ndarray
+    group_bias: np.ndarray
+    member_out: np.ndarray
+    member_bias: np.ndarray
 
     @classmethod
     def start(cls, class_share: np.ndarray, seed: int) -> Network:
         rng = np.random.default_rng(seed)
+        share = class_share.reshape(GROUPS, GROUPS).T
         return cls(
             rng.normal(0, 0.3, (BUCKETS + 1, WIDTH)).astype(np.float32),
             np.ones((2 * SIDE, WIDTH), np.float32),
-            rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32),
-            np.log(class_share).astype(np.float32),
+            rng.normal(0, 0.1, (WIDTH, GROUPS)).astype(np.float32),
+            np.log(share.sum(axis=1)).astype(np.float32),
+            rng.normal(0, 0.1, (GROUPS, WIDTH, GROUPS)).astype(np.float32),
+            np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32),
         )
 
     def flat(self) -> np.ndarray:
@@ -72,29 +91,50 @@ class Network(NamedTuple):
             total += self.words[context[:, j]] * self.places[j]
         return np.tanh(total)
 
+    def _spans(self, wanted: np.ndarray) -> list[tuple[int, int, int]]:
+        """(group, start, end) of each group in classes that are sorted by group."""
+        heads = np.searchsorted(wanted % GROUPS, np.arange(GROUPS + 1)).tolist()
+        return [(g, at, end) for g, (at, end) in enumerate(pairwise(heads)) if end > at]
+
+    def _levels(self, hidden: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of all groups, and of the members of the wanted one; sorted by group."""
+        members = self.member_bias[wanted % GROUPS]
+        for g, at, end in self._spans(wanted):
+            members[at:end] += hidden[at:end] @ self.member_out[g]
+        return _probabilities(hidden @ self.group_out + self.group_bias), _probabilities(members)
+
     def log_classes(self, context: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Log-probability of the wanted class in each context."""
-        scores = np.clip(self.hidden(context) @ self.out + self.bias, -60, 60)
-        mine = scores[np.arange(len(wanted)), wanted]
-        np.exp(scores, out=scores)
-        return mine - np.log(scores.sum(axis=1))
+        order = np.argsort((wanted % GROUPS).astype(np.uint8), kind="stable")
+        hidden, sorted_, row = self.hidden(context[order]), wanted[order], np.arange(len(wanted))
+        groups, members = self._levels(hidden, sorted_)
+        logs = np.empty(len(wanted), np.float32)
+        logs[order] = np.log(groups[row, sorted_ % GROUPS] * members[row, sorted_ // GROUPS])
+        return logs
 
     def learn(self, context: np.ndarray, wanted: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the cross-entropy of a small batch."""
+        n = len(wanted)
+        order = np.argsort((wanted % GROUPS).astype(np.uint8), kind="stable")
+        context, wanted, row = context[order], wanted[order], np.arange(n)
         vectors = self.words[context]
         hidden = np.tanh(np.einsum("njw,jw->nw", vectors, self.places))
-        scores = hidden @ self.out + self.bias
-        np.clip(scores, -60, 60, out=scores)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(axis=1, keepdims=True)
-        scores[np.arange(len(wanted)), wanted] -= 1
-        back = (scores @ self.out.T) * (1 - hidden * hidden)
-        self.out[...] -= rate / len(wanted) * (hidden.T @ scores)
-        self.bias[...] -= rate / len(wanted) * scores.sum(axis=0)
+        groups, members = self._levels(hidden, wanted)
+        groups[row, wanted % GROUPS] -= 1
+        members[row, wanted // GROUPS] -= 1
+        back = groups @ self.group_out.T
+        self.group_out[...] -= rate / n * (hidden.T @ groups)
+        self.group_bias[...] -= rate / n * groups.sum(axis=0)
+        for g, at, end in self._spans(wanted):
+            mine = members[at:end]
+            back[at:end] += mine @ self.member_out[g].T
+            self.member_out[g] -= rate / n * (hidden[at:end].T @ mine)
+            self.member_bias[g] -= rate / n * mine.sum(axis=0)
+        back *= 1 - hidden * hidden
         # A word is in few contexts of a batch, so its vector gets the step of each, unaveraged.
         steps = (back[:, None, :] * self.places).reshape(-1, WIDTH)
-        self.places[...] -= rate / len(wanted) * np.einsum("nw,njw->jw", back, vectors)
-        rows = context.ravel()
+        self.places[...] -= rate / n * np.einsum("nw,njw->jw", back, vectors)
+        rows = context.ravel().astype(np.uint16)
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
@@ -223,7 +263,7 @@ def masks(counts: np.ndarray, number: int, rounds: int) -> np.ndarray:
 
 def train_on(
     network: Network, vocabulary: Vocabulary, groups: Iterator[tuple[np.ndarray, np.ndarray]],
-    number: int, rounds: int, rate: float, rng: np.random.Generator, batch: int = 64,
+    number: int, rounds: int, rate: float, rng: np.random.Generator, batch: int = 256,
 ) -> int:
     """Train in place on the words of each group that the round masks; the words trained on."""
     trained = 0

@@ -30,8 +30,13 @@ def test_scores_equal_a_plain_sum():
     for i, w in enumerate(b):
         around = [b[i + s] if 0 <= i + s < len(b) else lm.PAD for s in lm.PLACES]
         h = np.tanh(sum(network.words[c] * network.places[j] for j, c in enumerate(around)))
-        z = h @ network.out + network.bias
-        total += z[vocabulary.class_of[w]] - np.log(np.exp(z).sum()) + vocabulary.log_share[w]
+        member, group = divmod(vocabulary.class_of[w], lm.GROUPS)
+        for z, at in (
+            (h @ network.group_out + network.group_bias, group),
+            (h @ network.member_out[group] + network.member_bias[group], member),
+        ):
+            total += z[at] - np.log(np.exp(z).sum())
+        total += vocabulary.log_share[w]
     rows = list(lm.score_texts(["", text, None, "x", text], network, vocabulary))
     assert [r[0] for r in rows] == [0, 4, 0, 1, 4]
     assert rows[0][1] is None and rows[2][2] is None
@@ -55,7 +60,8 @@ def test_held_out_documents_are_better_than_without_context(spark):
     fit, held = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
     vocabulary = lm.Vocabulary.of(lm.bucket_counts(fit))
     network = lm.train(fit, vocabulary)
-    start = lm.Network.start(vocabulary.class_share, 9)._replace(out=np.zeros((lm.WIDTH, lm.CLASSES), np.float32))
+    start = lm.Network.start(vocabulary.class_share, 9)
+    start = start._replace(group_out=0 * start.group_out, member_out=0 * start.member_out)
 
     def mean(model):
         rows = lm.scored(held, model, vocabulary).where("n_words > 0").collect()
