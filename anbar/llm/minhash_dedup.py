@@ -12,7 +12,8 @@ all documents in a fixed number of hashed shingle buckets, so the table has a fi
 Candidates of a band meet in cells. A cell is resolved with union-find: documents that are
 connected already are not compared again, and only a spanning forest comes out. Equal sets of
 documents that meet in several bands are resolved once. Larger groups are dealt into cells of
-``cell_rows``; afterwards only documents that are not yet connected are compared across cells.
+``cell_rows``; afterwards only documents that are not yet connected are compared across cells,
+in cells of ``cross_rows`` documents, so a group is moved once per ``cross_rows`` of those.
 """
 
 from __future__ import annotations
@@ -268,6 +269,33 @@ class _Union:
         self.parent[b] = a
 
 
+def _near(sets: list[tuple[np.ndarray, np.ndarray]], rows: list[int], similarity: float):
+    """(i, the documents that may be as similar to i) for each i of ``rows``, all at once per i.
+
+    The bound is kept with a little room for sums in another order; links are verified after it.
+    """
+    sizes = np.array([len(ids) for ids, _ in sets])
+    held = np.flatnonzero(sizes)
+    starts = np.cumsum(sizes[held]) - sizes[held]
+    weights = np.concatenate([w for _, w in sets])
+    shingle, place = np.unique(np.concatenate([ids for ids, _ in sets]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    total = np.array([w.sum() for _, w in sets])
+    own = np.zeros(len(shingle))
+    share = similarity / (1 + similarity) - 1e-9
+    for i in rows:
+        if not sizes[i]:
+            continue
+        mine = slice(ends[i] - sizes[i], ends[i])
+        own[place[mine]] = weights[mine]
+        shared = np.zeros(len(sets))
+        shared[held] = np.add.reduceat(np.minimum(weights, own[place]), starts)
+        own[place[mine]] = 0
+        near = shared >= share * (total + total[i])
+        near[i] = False
+        yield i, np.flatnonzero(near).tolist()
+
+
 def _resolver(idf: np.ndarray, similarity: float):
     """Resolves a cell: rows (id, text, component, minor); pairs without a minor are skipped
     if the cell has any. Gives a link for each union."""
@@ -277,25 +305,30 @@ def _resolver(idf: np.ndarray, similarity: float):
         known, minor = cell["component"].to_pylist(), cell["minor"].to_pylist()
         crossing = cell["crossing"][0].as_py()
         sets = [weighted(found, idf) for _, found in _each_text(texts)]
-        total = [w.sum() for _, w in sets]
         order = sorted(range(len(ids)), key=lambda i: ids[i])
         union = _Union()
+        a, b = [], []
+
+        def compare(i: int, j: int) -> None:
+            if union.find(ids[i]) == union.find(ids[j]):
+                return
+            if weighted_jaccard(sets[i], sets[j]) >= similarity:
+                union.join(ids[i], ids[j])
+                a.append(ids[i])
+                b.append(ids[j])
+
         if crossing:
             for i in order:
                 union.join(known[i], ids[i])
-        a, b = [], []
-        for x, i in enumerate(order):
-            for j in order[:x]:
-                if crossing and not (minor[i] or minor[j]):
-                    continue
-                if min(total[i], total[j]) < similarity * max(total[i], total[j]):
-                    continue
-                if union.find(ids[i]) == union.find(ids[j]):
-                    continue
-                if weighted_jaccard(sets[i], sets[j]) >= similarity:
-                    union.join(ids[i], ids[j])
-                    a.append(ids[i])
-                    b.append(ids[j])
+            for i, near in _near(sets, [i for i in order if minor[i]], similarity):
+                for j in near:
+                    compare(i, j)
+        else:
+            total = [w.sum() for _, w in sets]
+            for x, i in enumerate(order):
+                for j in order[:x]:
+                    if min(total[i], total[j]) >= similarity * max(total[i], total[j]):
+                        compare(i, j)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return resolved
@@ -330,6 +363,7 @@ def near_duplicates(
     bands: int | None = None,
     rows: int = 3,
     cell_rows: int = 64,
+    cross_rows: int = 1024,
     broadcast_rows: int = 500_000,
     miss: float = 2e-4,
 ) -> DataFrame:
@@ -373,7 +407,7 @@ def near_duplicates(
     )
     links = _links(_with_texts(first, docs, key, text, broadcast_rows), idf, similarity)
     large = members.where(F.col("n") > cell_rows)
-    links = links.unionByName(_across(large, links, docs, key, text, idf, similarity, cell_rows, broadcast_rows))
+    links = links.unionByName(_across(large, links, docs, key, text, idf, similarity, cross_rows, broadcast_rows))
     groups_of = components(links).withColumnRenamed("id", "rep")
     verdicts = classes.select(
         F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep", "n_copies"
@@ -391,7 +425,7 @@ def near_duplicates(
 
 def _across(
     large: DataFrame, links: DataFrame, docs: DataFrame, key: str, text: str, idf: np.ndarray,
-    similarity: float, cell_rows: int, broadcast_rows: int,
+    similarity: float, cross_rows: int, broadcast_rows: int,
 ) -> DataFrame:
     """Links between the cells of a large group, of documents that are not connected yet.
 
@@ -406,8 +440,8 @@ def _across(
         F.sum("size").alias("all"), F.max("size").alias("most"),
     ).where("all > most")
     some = joined.join(biggest, "cell").withColumn("minor", F.col("component") != F.col("major"))
-    all_chunks = F.ceil(F.col("all") / cell_rows)
-    minor_chunks = F.ceil((F.col("all") - F.col("most")) / cell_rows)
+    all_chunks = F.ceil(F.col("all") / cross_rows)
+    minor_chunks = F.ceil((F.col("all") - F.col("most")) / cross_rows)
 
     def chunk(salt: int, many: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), "cell", "id"), many)

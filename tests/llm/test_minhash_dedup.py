@@ -44,11 +44,12 @@ def corpus(seed, n=150):
     return texts
 
 
-@pytest.mark.parametrize("cell_rows", [64, 3])
-def test_equals_all_pairs(spark, cell_rows):
+@pytest.mark.parametrize(("cell_rows", "cross_rows"), [(64, 1024), (3, 1024), (3, 5)])
+def test_equals_all_pairs(spark, cell_rows, cross_rows):
     texts = corpus(5)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    out = {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs, cell_rows=cell_rows, bands=20).collect()}
+    found = m.near_duplicates(docs, cell_rows=cell_rows, cross_rows=cross_rows, bands=20)
+    out = {r["doc_id"]: r["component_id"] for r in found.collect()}
     assert out == all_pairs(texts)
 
 
