@@ -9,7 +9,8 @@ as it is, table cells in aligned columns. All visible text of a page comes out.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -49,8 +50,10 @@ CLOSES_P = (BLOCKS | {"hr"}) - set("html body li dt dd tr td th thead tbody tfoo
 IN_HEAD = set("base link meta title style script noscript template head".split())
 #: An end tag does not reach past these.
 WALLS = {"table", "td", "th", "caption"}
-#: Deeper elements become siblings; no text is lost.
-MAX_DEPTH = 150
+#: An end tag of these reaches past walls.
+TABLE_TAGS = set("table tr tbody thead tfoot".split())
+#: Nested lists and quotes are not set in further than this many columns.
+MAX_INDENT = 320
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -77,45 +80,50 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class _Builder:
+    """The open elements, and the places of each tag among them, so no step walks the stack."""
+
     def __init__(self) -> None:
         self.root = Node("html")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {"html": [0]}
 
     def text(self, text: str) -> None:
         if not text:
             return
         if self.open[-1].tag == "head" and not text.isspace():
-            self.open.pop()  # the body begins without its tag
+            self._close_from(len(self.open) - 1)  # the body begins without its tag
         self.open[-1].children.append(text)
 
     def _close_from(self, i: int) -> None:
-        del self.open[max(i, 1):]
+        while len(self.open) > max(i, 1):
+            self.at[self.open.pop().tag].pop()
+
+    def _last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def start(self, tag: str, attrs: dict[str, str], empty: bool) -> Node | None:
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
-            next(n for n in self.open if n.tag == tag).attrs |= attrs
+        if tag in ("html", "body") and self.at.get(tag):
+            self.open[self.at[tag][0]].attrs |= attrs
             return None
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self._close_from(len(self.open) - 1)
         if tag in CLOSES_P:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag == "p":
-                    self._close_from(i)
-                    break
-                if self.open[i].tag in WALLS or self.open[i].tag == "button":
-                    break
+            p = self._last({"p"})
+            if p > self._last(WALLS | {"button"}):
+                self._close_from(p)
         if tag in CLOSES:
-            reach = None
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in BORDERS[tag]:
-                    break
-                if self.open[i].tag in CLOSES[tag]:
-                    reach = i
-            if reach is not None:
-                self._close_from(reach)
+            border = self._last(BORDERS[tag])
+            reach = []
+            for t in CLOSES[tag]:
+                places = self.at.get(t, [])
+                reach += places[(k := bisect_right(places, border)) : k + 1]
+            if reach:
+                self._close_from(min(reach))
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and not empty and len(self.open) < MAX_DEPTH:
+        if tag not in VOID and not empty:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
         return node
 
@@ -123,13 +131,10 @@ class _Builder:
         if tag == "br":
             self.start("br", {}, False)
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._close_from(i)
-                return
-            if self.open[i].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                break
-        if tag == "p":  # an end without a start is an empty paragraph
+        i = self._last({tag})
+        if i and (tag in TABLE_TAGS or i >= self._last(WALLS)):
+            self._close_from(i)
+        elif tag == "p":  # an end without a start is an empty paragraph
             self.start("p", {}, True)
 
 
@@ -181,7 +186,7 @@ class _Flow:
         self.line: list[str] = []
         self.space = False
         self.blank = False
-        self.indent = ""
+        self.indent = 0
         self.marker = ""
 
     def inline(self, text: str) -> None:
@@ -212,9 +217,9 @@ class _Flow:
         if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
-        lead = self.indent
+        lead = " " * self.indent
         if self.marker and text:
-            lead = lead[: len(lead) - len(self.marker)] + self.marker
+            lead = " " * (self.indent - len(self.marker)) + self.marker
             self.marker = ""
         self.lines.append((lead + text).rstrip())
 
@@ -253,19 +258,41 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield from _rows(child)
 
 
-def _table(node: Node, flow: _Flow) -> None:
+#: A renderer gives the renderers of its elements; ``_run`` holds them, so depth costs no recursion.
+Steps = Generator["Steps", None, None]
+
+
+def _run(step: Steps) -> None:
+    waiting = [step]
+    while waiting:
+        inner = next(waiting[-1], None)
+        if inner is None:
+            waiting.pop()
+        else:
+            waiting.append(inner)
+
+
+def _each(nodes: list[Node | str], flow: _Flow, pre: bool) -> Steps:
+    for x in nodes:
+        if isinstance(x, str):
+            (flow.preformatted if pre else flow.inline)(unescape(x))
+        elif visible(x):
+            yield _render(x, flow, pre)
+
+
+def _table(node: Node, flow: _Flow) -> Steps:
     for child in node.children:  # what stands outside of rows comes first
         if isinstance(child, str):
             flow.inline(unescape(child))
         elif child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            _render(child, flow, False)
+            yield from _each([child], flow, False)
     for part in node.children:
         if isinstance(part, Node) and part.tag in ("thead", "tbody", "tfoot") and visible(part):
             for child in part.children:
                 if isinstance(child, str):
                     flow.inline(unescape(child))
                 elif child.tag != "tr":
-                    _render(child, flow, False)
+                    yield from _each([child], flow, False)
     grid: list[list[tuple[list[str], int]]] = []
     for row in _rows(node):
         cells: list[tuple[list[str], int]] = []
@@ -276,8 +303,7 @@ def _table(node: Node, flow: _Flow) -> None:
             if isinstance(child, str):
                 inner.inline(unescape(child))
             else:
-                for x in child.children if child.tag in ("td", "th") else [child]:
-                    _render(x, inner, False)
+                yield from _each(child.children if child.tag in ("td", "th") else [child], inner, False)
             lines = inner.done()
             if isinstance(child, Node) and child.tag in ("td", "th"):
                 cells.append((lines, max(1, min(1000, _whole(child.attrs.get("colspan"), 1)))))
@@ -306,9 +332,9 @@ def _table(node: Node, flow: _Flow) -> None:
     flow.block(True)
 
 
-def _list(node: Node, flow: _Flow) -> None:
+def _list(node: Node, flow: _Flow) -> Steps:
     number = _whole(node.attrs.get("start"), 1)
-    inner_list = flow.indent != ""
+    inner_list = flow.indent > 0
     flow.block(not inner_list)
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li":
@@ -319,63 +345,53 @@ def _list(node: Node, flow: _Flow) -> None:
             number += 1
             flow.newline()
             before, held = flow.indent, flow.marker
-            flow.indent, flow.marker = before + " " * len(marker), marker
-            for x in child.children:
-                _render(x, flow, False)
+            flow.indent, flow.marker = min(before + len(marker), MAX_INDENT), marker
+            yield from _each(child.children, flow, False)
             flow.newline()
             flow.indent = before
             flow.marker = held if held and flow.marker else ""
         else:
-            _render(child, flow, False)
+            yield from _each([child], flow, False)
     flow.block(not inner_list)
 
 
-def _render(node: Node | str, flow: _Flow, pre: bool) -> None:
-    if isinstance(node, str):
-        (flow.preformatted if pre else flow.inline)(unescape(node))
-        return
-    if not visible(node):
-        return
+def _render(node: Node, flow: _Flow, pre: bool) -> Steps:
+    """Lays out a visible element."""
     tag = node.tag
     if tag == "br":
         flow.newline(True)
     elif tag == "table":
         flow.block(True)
-        _table(node, flow)
+        yield from _table(node, flow)
     elif tag in ("ul", "ol", "menu", "dir"):
-        _list(node, flow)
+        yield from _list(node, flow)
     elif tag == "details" and "open" not in node.attrs:
         flow.block(False)
-        for x in node.children:
-            if isinstance(x, Node) and x.tag == "summary":
-                _render(x, flow, pre)
+        yield from _each([x for x in node.children if isinstance(x, Node) and x.tag == "summary"], flow, pre)
         flow.block(False)
     elif tag in ("pre", "textarea", "xmp"):
         flow.block(True)
-        for i, x in enumerate(node.children):
-            if i == 0 and isinstance(x, str) and x.startswith("\n"):
-                x = x[1:]
-            _render(x, flow, True)
+        first, rest = node.children[:1], node.children[1:]
+        if first and isinstance(first[0], str):
+            first = [first[0].removeprefix("\n")]
+        yield from _each(first + rest, flow, True)
         flow.block(True)
     elif tag in BLOCKS:
         indent = flow.indent
         flow.block(tag in PARAGRAPHS)
         if tag in ("blockquote", "dd"):
-            flow.indent = indent + "  "
-        for x in node.children:
-            _render(x, flow, pre)
+            flow.indent = min(indent + 2, MAX_INDENT)
+        yield from _each(node.children, flow, pre)
         flow.block(tag in PARAGRAPHS)
         flow.indent = indent
     else:
-        for x in node.children:
-            _render(x, flow, pre)
+        yield from _each(node.children, flow, pre)
 
 
 def render(html: str) -> str:
     """The visible text of a page, laid out."""
     flow = _Flow()
-    for child in parse(html).children:
-        _render(child, flow, False)
+    _run(_each(parse(html).children, flow, False))
     return "\n".join(flow.done())
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from html.parser import HTMLParser
 
 from anbar.llm.html_text import extract, op5_html_text, render
@@ -69,6 +70,17 @@ def test_visibility_and_broken_markup():
     assert "".join(render("<div>" * 5000 + "deep" + "<b>" * 3000 + "er").split()) == "deeper"
 
 
+def test_depth_changes_nothing():
+    for opened in ("<div>", "<b>", "<p><span>", "<ul><li>", "<blockquote>", "<button><p>"):
+        deep = opened * 10_000
+        assert render(f"{deep}<div style='display:none'>no<i>no</i></div>yes").split()[-1] == "yes"
+        lines = render(f"{deep}<table><tr><td>a<td>b<tr><td>long<td>c</table>").splitlines()
+        assert [line.strip(" -") for line in lines if line.strip(" -")] == ["a     b", "long  c"]
+    started = time.perf_counter()
+    assert render("<div>" * 200_000 + "x" + "</div>" * 200_000 + "y") == "x\ny"
+    assert time.perf_counter() - started < 30
+
+
 def test_edges(spark):
     schema = "page_id long, html string, text string, n_words int"
     rows = [(1, None), (2, ""), (3, "<p>word " * 30_000), (3, "<p>again"), (None, "<li>x"), (4, "<" * 200_000), (5, "<a " * 90_000), (6, "<a \"" * 30_001)]
