@@ -42,6 +42,18 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy().astype(np.float64), lengths
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1.
+
+    Products and cosines keep all their digits, and very large or small components neither
+    overflow nor vanish in the squares.
+    """
+    if not x.size:
+        return x
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -power[:, None])
+
+
 def _sign(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     """Adds the codes of a vector, one per table."""
 
@@ -52,7 +64,7 @@ def _sign(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
             ends = np.cumsum(lengths)
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
-                x = flat[(ends[at] - n)[:, None] + np.arange(n)]
+                x = scaled(flat[(ends[at] - n)[:, None] + np.arange(n)])
                 codes[at] = _codes(x, bits, tables, seed)
             offsets = np.arange(len(lengths) + 1, dtype=np.int32) * tables
             column = pa.ListArray.from_arrays(offsets, codes.ravel())
@@ -89,7 +101,7 @@ def _links(cosine: float, step: int = 512):
         copies = cell["copies"].to_numpy()[order]
         chunk = cell["chunk"].to_numpy()[order]
         flat, lengths = _matrix(cell["vec"].chunk(0))
-        x = flat.reshape(len(rep), int(lengths[0]))[order]
+        x = scaled(flat.reshape(len(rep), int(lengths[0]))[order])
         codes = cell["codes"].chunk(0).flatten().to_numpy().reshape(len(rep), -1)[order]
         norm = np.sqrt((x * x).sum(axis=1))
         count = np.zeros(len(rep), np.int64)

@@ -50,6 +50,16 @@ def test_edge_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_extreme_doubles(spark):
+    rows = [
+        (1, [1e-200, 0.0]), (2, [0.0, 1.0]), (3, [1e200, 0.0]), (4, [3e200, 1e199]), (5, [0.0, 5e-324]),
+        (6, [1.7e308, 1.7e308]), (7, [2e-310, 2e-310]), (8, [-1e200, 0.0]),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
+    assert out == {1: (2, 1), 2: (1, 2), 3: (2, 1), 4: (2, 1), 5: (1, 2), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_shape_grows_slowly():
     assert table_shape(10, 0.95)[0] == 1
     bits, tables = table_shape(10**9, 0.95)
