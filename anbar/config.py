@@ -95,6 +95,13 @@ MODEL_CODES = {
     "SARIMA": "sarima",
     "Bi-LSTM": "seq",
 }
+
+# Panel columns that are no features.
+NOT_FEATURES = (
+    "product_code", "product_name", "month_start", "jalali_month",
+    "target", "original_target", "abc_class",
+)
+
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------

@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from anbar.config import Config
+from anbar.config import NOT_FEATURES, Config
 from anbar.functions.numbers import half_even
 from anbar.operators.prefix import values_at
 
-NOT_FEATURES = (
-    "product_code", "product_name", "month_start", "jalali_month",
-    "target", "original_target", "abc_class",
-)
-
 
 def feature_candidates(panel: DataFrame) -> list[str]:
     """Numeric panel columns that are neither key nor target."""
