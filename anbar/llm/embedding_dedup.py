@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anbar.config import Config
 from anbar.llm.common import small, table, written
 from anbar.llm.components import components
+from anbar.operators.joins import join_counted
 
 
 def table_shape(rows: int, cosine: float, bucket_rows: int = 1024, miss: float = 1e-4) -> tuple[int, int]:
@@ -141,23 +143,30 @@ def near_vectors(
     block_rows: int = 2048,
     broadcast_rows: int = 200_000,
     seed: int = 2,
+    cfg: Config | None = None,
 ) -> DataFrame:
-    """(key, n_links, component_id, kept), one row per vector id.
+    """(key, n_links, component_id, kept), one row per row of ``vectors``.
 
-    Links join vectors of one length with ``cosine`` or more, in double precision. Null, zero
-    and empty vectors, and vectors with null or non-finite components, link with nothing. A
-    repeated id counts once, with the smallest of its vectors.
+    Links join rows whose vectors have one length and ``cosine`` or more, in double precision,
+    whatever their ids. Null, zero and empty vectors, and vectors with null or non-finite
+    components, link with nothing. ``component_id`` is the smallest id of the component, null if
+    none of its rows has one; rows of such a component are kept, other rows without id are not.
     """
+    cfg = cfg or Config()
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("vec", lambda x: x != 0)
-    ids = vectors.groupBy(F.col(key).cast("long").alias("id")).agg(F.min(vector).alias("vec"))
-    usable = F.coalesce(F.col("vec").isNotNull() & finite & some & F.col("id").isNotNull(), F.lit(False))
-    hashed = {"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit("second"), "vec")}
-    ids = written(ids.withColumn("usable", usable).withColumns(hashed))
-    classes = ids.where("usable").groupBy("h1", "h2").agg(
-        F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec")
+    usable = F.coalesce(F.col("vec").isNotNull() & finite & some, F.lit(False))
+    hashes = {
+        "h1": F.when(usable, F.xxhash64("vec")),
+        "h2": F.when(usable, F.xxhash64(F.lit("second"), "vec")),
+    }
+    ids = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
+    ids = written(ids.withColumns(hashes))
+    classes = ids.where("h1 is not null").groupBy("h1", "h2").agg(
+        F.min("id").alias("first"), F.count("*").alias("copies"), F.min("vec").alias("vec")
     )
-    classes = written(classes)
+    # Different vectors may share an id, so classes are numbered; the number is fixed once written.
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
     bits, tables = table_shape(classes.count(), cosine)
     signed = written(_sign(classes.select("rep", "copies", "vec"), bits, tables, seed))
     length = F.size("vec").alias("length")
@@ -181,24 +190,26 @@ def near_vectors(
     found = written(cells.groupBy(*cell).applyInArrow(_links(cosine), "id long, n long, to long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found, "id", "to")
+    linked = classes.select("rep", "first").join(joined.withColumnRenamed("id", "rep"), "rep")
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("members"))
     of_class = (
-        classes.select("h1", "h2", "rep", "copies")
+        classes.select("h1", "h2", "rep", "first", "copies")
         .join(counts.withColumnRenamed("id", "rep"), "rep", "left")
         .join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(
-            F.col("h1").alias("c1"), F.col("h2").alias("c2"),
-            (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
     )
-    match = (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("usable")
-    out = ids.drop("vec").join(of_class, match, "left")
-    component = F.coalesce("component_id", "id")
+    of_class = join_counted(of_class, written(heads), ["component"], "members", cfg)
+    of_class = of_class.select(
+        "h1", "h2", "copies",
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("head", "first").alias("component_id"),
+    )
+    out = join_counted(ids.drop("vec"), written(of_class), ["h1", "h2"], "copies", cfg)
+    component = F.coalesce("component_id", F.when(F.col("h1").isNull(), F.col("id")))
     return out.select(
         F.col("id").alias(key),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )
 
 
@@ -208,24 +219,28 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: All pairs; for small tables.
 SQL = """
-WITH RECURSIVE vectors AS (
-  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v
+  FROM embeddings
 ), usable AS (
   SELECT * FROM vectors
   WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(v, lambda x: x <> 0)) > 0
-), links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+), links AS MATERIALIZED (
+  SELECT a.no AS a, b.no AS b, b.vec_id AS b_id FROM usable a JOIN usable b ON a.no <> b.no
   WHERE list_dot_product(a.v, b.v)
         / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95
 ), reach AS (
-  SELECT vec_id AS id, vec_id AS root FROM vectors
+  SELECT no, vec_id AS root FROM vectors WHERE vec_id IS NOT NULL
   UNION
-  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.id WHERE reach.root < links.b
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.no
+  WHERE links.b_id IS NULL OR reach.root < links.b_id
 ), roots AS (
-  SELECT id, min(root) AS component_id FROM reach GROUP BY id
+  SELECT no, min(root) AS component_id FROM reach GROUP BY no
+), degrees AS (
+  SELECT a AS no, count(*) AS n FROM links GROUP BY a
 )
-SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links,
-       r.component_id, v.vec_id = r.component_id AS kept
-FROM vectors v JOIN roots r ON r.id = v.vec_id
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, r.component_id,
+       coalesce(v.vec_id = r.component_id, r.component_id IS NULL) AS kept
+FROM vectors v LEFT JOIN roots r USING (no) LEFT JOIN degrees d USING (no)
 """

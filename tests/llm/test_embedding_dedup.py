@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
+from anbar.config import Config
 from anbar.llm import embedding_dedup
 from anbar.llm.embedding_dedup import forest, near_vectors, table_shape
 
@@ -39,17 +42,34 @@ def test_edge_vectors(spark):
     rows = [
         (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]),
         (7, [None, 1.0]), (8, [math.inf, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]),
-        (10, [1.0, 0.0]), (None, [1.0, 0.0]),
+        (10, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None),
     ]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA)
-    out = {r["vec_id"]: r for r in near_vectors(df).collect()}
-    assert len(out) == 11
-    assert [(out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) for i in (1, 2, 10)] == [
-        (2, 1, True), (2, 1, False), (2, 1, False)]
-    assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in (3, 4, 5, 6, 7, 8, 9, None))
+    out = Counter(map(tuple, near_vectors(df).collect()))
+    alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9)] + [(None, 0, None, True)]
+    group = [(1, 4, 1, True), (2, 4, 1, False), (10, 4, 1, False), (10, 4, 1, False), (None, 4, 1, False)]
+    assert out == Counter(alone + group)
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c, d = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.01], [0.0, 0.0, 1.0]
+    rows = [(5, a), (5, b), (7, a), (6, c), (None, d), (None, d), (None, [0.0, 0.0, 2.0]), (9, c)]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA)
+    expected = [
+        (5, 1, 5, True), (7, 1, 5, False), (5, 2, 5, True), (6, 2, 5, False), (9, 2, 5, False),
+        *[(None, 2, None, True)] * 3,
+    ]
+    plain = Counter(map(tuple, near_vectors(df).collect()))
+    assert plain == Counter(expected)
+    # Neither lookup is broadcast whole.
+    spread = near_vectors(df, cfg=Config(broadcast_rows=0))
+    assert Counter(map(tuple, spread.collect())) == plain
+    base = duckdb.connect()
+    base.register("embeddings", df.select("vec_id", "embedding").toArrow())
+    assert Counter(base.sql(embedding_dedup.SQL).fetchall()) == plain
+
+
 def test_extreme_doubles(spark):
     rows = [
         (1, [1e-200, 0.0]), (2, [0.0, 1.0]), (3, [1e200, 0.0]), (4, [3e200, 1e199]), (5, [0.0, 5e-324]),
