@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,22 +71,25 @@ def per_text(
     text: str,
     fields: str,
     rows: Callable[[list[str | None]], Iterable[tuple]],
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """The key and ``fields`` of each document; ``rows`` maps texts to tuples, in order.
+    """The key, the columns ``also`` and ``fields`` of each document; ``rows`` maps texts to
+    tuples, in order.
 
-    The key stays an Arrow column, so null and large ids pass unchanged.
+    The key and ``also`` stay Arrow columns, so null and large ids pass unchanged.
     """
     made = T.StructType.fromDDL(fields)
-    schema = T.StructType([docs.schema[key], *made])
+    schema = T.StructType([docs.schema[key], *[docs.schema[c] for c in also], *made])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = list(rows(batch.column(1).to_pylist()))
             columns = list(zip(*done, strict=True)) if done else [[] for _ in made]
-            arrays = [batch.column(0)] + list(arrow_batch([list(c) for c in columns], made).columns)
+            passed = [c for i, c in enumerate(batch.columns) if i != 1]
+            arrays = passed + list(arrow_batch([list(c) for c in columns], made).columns)
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(docs[key], docs[text]).mapInArrow(mapped, schema)
+    return docs.select(docs[key], docs[text], *[docs[c] for c in also]).mapInArrow(mapped, schema)
 
 
 def task_sums(

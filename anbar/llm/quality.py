@@ -220,9 +220,11 @@ def learn_rules(
     return rules
 
 
-def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Statistics, features and ``base_failed`` of every document."""
-    stats = per_text(docs, key, text, STATS, text_stats)
+def document_stats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", also: Sequence[str] = ()
+) -> DataFrame:
+    """Statistics, features and ``base_failed`` of every document, with its columns ``also``."""
+    stats = per_text(docs, key, text, STATS, text_stats, also)
     too_short = F.col("n_words") < LEAST_WORDS
     repeats = 100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")
     return stats.withColumns(
@@ -260,9 +262,16 @@ def verdict(rules: Sequence[Rule]) -> tuple[Column, Column]:
     return decided.isNull(), decided
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def judged(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    also: Sequence[str] = (),
+    **settings,
+) -> DataFrame:
     """``document_stats`` with ``kept`` and ``rule``, learned from ``labels``."""
-    stats = written(document_stats(docs, key, text))
+    stats = written(document_stats(docs, key, text, also))
     kept, rule = verdict(learned_from(stats, labels, key, **settings))
     return stats.withColumns({"kept": kept, "rule": rule})
 
