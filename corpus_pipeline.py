@@ -19,17 +19,32 @@ from anbar.llm.quality import judged
 BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` without the ids that ``verdicts`` (doc_id, kept) rejects; rows without id stay."""
-    gone = written(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with a number per row and the hash of its text, and the names of the two.
+
+    The numbers are fixed once written, so a row has one whatever its id, or without one.
+    """
+    row, text_hash = "__row", "__hash"
+    taken = {c.lower() for c in docs.columns}
+    while row in taken or text_hash in taken:
+        row, text_hash = f"_{row}", f"_{text_hash}"
+    numbers = {row: F.monotonically_increasing_id(), text_hash: F.xxhash64("text")}
+    return written(docs.withColumns(numbers)), row, text_hash
+
+
+def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose number is not in ``gone``."""
+    gone = written(gone.select(F.col(row).alias("gone")))
     if small(gone, BROADCAST_ROWS):
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return docs.join(gone, docs[row] == gone["gone"], "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned decision list reject go."""
-    return _without(docs, judged(docs, table(spark, sf_dir, "labels")))
+    """Documents that the base rules or the learned decision list reject go, each row by its text."""
+    numbered, row, _ = _numbered(docs)
+    verdicts = judged(numbered, table(spark, sf_dir, "labels"), also=[row])
+    return _without(numbered, row, verdicts.where(~F.col("kept"))).select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +56,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return _without(docs, near_duplicates(docs))
+    """Of each group of near duplicates one row stays: the one with the smallest id.
+
+    Rows without an id come last; of rows that share an id, the one with the smaller hash of its
+    text, and of equal rows one.
+    """
+    numbered, row, text_hash = _numbered(docs)
+    groups = written(near_duplicates(numbered, key=row).select(row, "component_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text_hash, row)
+    ranked = groups.join(numbered.select(row, "doc_id", text_hash), row)
+    stays = ranked.groupBy("component_id").agg(F.min(place)[row].alias("stays"))
+    gone = groups.join(stays, groups[row] == stays["stays"], "left_anti")
+    return _without(numbered, row, gone).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
