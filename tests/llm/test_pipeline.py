@@ -111,3 +111,22 @@ def test_edge_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = written(stage(spark, none, SF))
     assert none.count() == 0
+
+
+def test_verdicts_go_by_row(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row string, shard int"
+    good = [" ".join(f"{name}{i}" for i in range(60)) for name in ("apple", "birch", "cedar")]
+    texts = [
+        (1, "too short"), (1, good[0]), (None, "short"), (None, good[1]), (None, good[1]),
+        (7, good[1]), (2, good[2]), (2, good[2]), (3, good[2] + " more"), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, None, None, 0, "x", 1) for i, t in texts], schema)
+    passed = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert passed.dtypes == docs.dtypes
+    expected = Counter(x for x in texts if x[1] and "short" not in x[1])
+    assert Counter((r["doc_id"], r["text"]) for r in passed.collect()) == expected
+    single = corpus_pipeline.near_dedup(spark, passed, SF)
+    assert single.dtypes == docs.dtypes
+    assert Counter((r["doc_id"], r["text"]) for r in single.collect()) == Counter(
+        [(1, good[0]), (7, good[1]), (2, good[2])]
+    )
