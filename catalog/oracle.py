@@ -659,6 +659,38 @@ ORACLE: dict[str, str] = {
         ),
     ),
 }
+ORACLE["seq_choice"] = query(
+    "panel",
+    f"""SELECT selection, CAST(candidate AS INTEGER) AS candidate, {r('mae', 4)} AS "MAE",
+        row_number() OVER (PARTITION BY selection ORDER BY mae, candidate) = 1 AS chosen
+        FROM scores""",
+    "returns",
+    extra=(
+        SPLIT,
+        LIVE,
+        scaled_cte().replace("scaled AS (", "scaled AS MATERIALIZED ("),
+        """earlier AS (
+        SELECT product_code, ix, split, n_train, lag(scaled_lag_1, 1) OVER w AS l1,
+            lag(scaled_lag_1, 2) OVER w AS l2, lag(scaled_lag_1, 3) OVER w AS l3
+        FROM scaled WINDOW w AS (PARTITION BY product_code, split ORDER BY ix)),
+    compared AS (
+        SELECT *, CASE WHEN split = 'test' THEN 'test' ELSE 'validation' END AS selection
+        FROM earlier
+        WHERE l3 IS NOT NULL AND (split = 'test' OR ix >= n_train * 4 // 5)
+          AND product_code IN (SELECT product_code FROM live)),
+    guesses AS (
+        SELECT *, unnest([(l1 + l2 + l3) / 3, l1,
+                greatest(least(l1, l2), least(greatest(l1, l2), l3))]) AS guess,
+            unnest([0, 1, 2]) AS candidate
+        FROM compared),
+    scores AS (
+        SELECT selection, candidate, avg(abs(m.target - (lo_target + guess * CASE
+            WHEN hi_target > lo_target THEN hi_target - lo_target ELSE 1 END))) AS mae
+        FROM guesses g JOIN train_bounds USING (product_code)
+            JOIN marked m ON m.product_code = g.product_code AND m.ix = g.ix
+        GROUP BY ALL)""",
+    ),
+)
 # Other ways to the same rows.
 ORACLE["abc_sheet"] = ORACLE["abc_export"]
 ORACLE["csv_reader"] = ORACLE["raw_cleaned"]

@@ -498,6 +498,34 @@ def seq_rollout_mean(spark, sf):
     return rounded(rows, 4, "forecast")
 
 
+class WindowElement:
+    """Predicts one element of the window, after sorting it if asked."""
+
+    def __init__(self, place: int, ordered: bool = False):
+        self.place, self.ordered = place, ordered
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        values = vector_to_array("features")
+        values = F.array_sort(values) if self.ordered else values
+        return df.withColumn("prediction", F.element_at(values, self.place))
+
+
+def seq_choice(spark, sf):
+    """The choice among candidates on test windows and on validation windows, with
+    closed-form models: mean, last and middle value of the window."""
+    panel, _ = featured(build(spark, sf, "returns"))
+    live = sequence.eligible(panel)
+    windows = cut_lineage(sequence.train_windows(live, ["lag_1"], CFG))
+    models = [WindowMean(), WindowElement(-1), WindowElement(2, ordered=True)]
+    parts = []
+    for selection in ("test", "validation"):
+        _, check = sequence.selection_rows(windows, live, replace(CFG, seq_selection=selection))
+        scores = sequence.candidate_scores(check, models)
+        chosen = F.col("candidate").eqNullSafe(F.lit(sequence.best_candidate(scores)))
+        parts.append(scores.select(F.lit(selection).alias("selection"), "candidate", "MAE", chosen.alias("chosen")))
+    return rounded(cleaning.union_all(parts), 4, "MAE")
+
+
 def importance_table(spark, sf):
     panel, names, _ = cached(spark, sf)
     return finished(panel, tree.importance_table(panel.frame, names, REPORT))
@@ -575,6 +603,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trend_forecast_by_product": series_forecast("trend", ("product_code",)),
     "seq_forecast": seq_forecast,
     "seq_rollout_mean": seq_rollout_mean,
+    "seq_choice": seq_choice,
     "importance_table": importance_table,
     "model_evaluation": model_evaluation,
     "full_run": full_run,

@@ -137,6 +137,37 @@ def test_constant_column_scales_to_zero(spark):
     assert {r["scaled_target"] for r in scaled.collect()} == {0.0}
 
 
+class Guess:
+    def __init__(self, value):
+        self.value = value
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.lit(self.value).cast("double"))
+
+
+def test_sequence_candidates(spark):
+    columns = "actual double, range_target double, low_target double"
+    check = spark.createDataFrame([(10.0, 10.0, 0.0), (20.0, 10.0, 10.0), (0.0, 1.0, 0.0)], columns)
+    models = [Guess(float("nan")), Guess(0.5), Guess(1.0), Guess(1.0), Guess(None)]
+    scores = sequence.candidate_scores(check, models)
+    maes = [r["MAE"] for r in scores.orderBy("candidate").collect()]
+    assert maes == [None, pytest.approx(10.5 / 3), pytest.approx(1 / 3), pytest.approx(1 / 3), None]
+    assert sequence.best_candidate(scores) == 2
+    assert sequence.best_candidate(sequence.candidate_scores(check.limit(0), models)) is None
+    assert sequence.best_candidate(sequence.candidate_scores(check, models[:1])) is None
+
+
+def test_sequence_selection_rows(spark):
+    p = panel_of(spark, {1: np.arange(25.0)})
+    windows = sequence.train_windows(p, ["target"], CFG)
+    fit, check = sequence.selection_rows(windows, p, CFG)
+    assert sorted(r["actual"] for r in check.collect()) == [23, 24]
+    assert sorted(r["actual"] for r in fit.collect()) == [*range(3, 20)]
+    fit, check = sequence.selection_rows(windows, p, replace(CFG, seq_selection="validation"))
+    assert sorted(r["actual"] for r in check.collect()) == [*range(16, 20)]
+    assert sorted(r["actual"] for r in fit.collect()) == [*range(3, 16)]
+
+
 def test_sequence_forecast(spark):
     cfg = replace(SMALL, seq_selection="validation")
     p = panel_of(spark, {1: seasonal(40), 2: np.full(40, 9.0), 3: np.zeros(40)})
