@@ -22,9 +22,18 @@ from anbar.sources import stock_view
 from anbar.sources.sinks import persian_headers
 from anbar.sources.tables import parse_working_days
 from catalog import spark_queries
-from catalog.spark_queries import SMALL
 
 CFG = Config()
+# Smaller grids than the shipped ones.
+SMALL = replace(
+    CFG,
+    rf_trees=20, rf_depths=(3, 5), rf_leaf_rows=(1,),
+    gbt_rounds=(10,), gbt_depths=(3, 5), gbt_rates=(0.1,), gbt_leaf_rows=(1,),
+    importance_trees=20, importance_tree_depth=5,
+    importance_rounds=10, importance_round_depth=4,
+    seq_candidates=((5, 3, 0.1), (10, 3, 0.1)),
+    max_bins=32, report_from_year=1379,
+)
 SF = "/root/testdata/sf0.001"
 
 
