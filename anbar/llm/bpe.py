@@ -5,6 +5,10 @@ stand side by side in no token can therefore never end up in one: the place betw
 certain cut. A piece of text is cut there, its fragments are merged independently of each other
 and their ids are concatenated. Fragments are short and repeat, so most are looked up.
 
+No piece goes on behind a space that follows a word, so a word with the space before it has the
+same ids wherever it stands. A group of texts is cut into words and its different words are found
+in Arrow; each of them is split and looked up once, and the ids of the texts are gathered.
+
 The merges are this module's own; only the character classes of unusual scripts come from the
 tokenizer's splitter, whose Unicode tables differ from Python's.
 """
@@ -15,10 +19,12 @@ import heapq
 import json
 import re
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +33,20 @@ from anbar.llm.common import table, vocabulary
 
 #: How a byte-level vocabulary splits a text into pieces.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: A space inside or at the end of white space, which can be in one piece with what is before it.
+INNER_SPACE = re.compile(r" (?!\S)(?<=\s\s)")
 #: Characters in whose classes Python and the tokenizer may differ.
 UNUSUAL = re.compile(
     "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-՗ -⁯₠-⅏ぁ-ヿ一-鿿가-힣]"
 )
 #: Fragments up to these lengths are merged side by side, longer ones one by one with a heap.
 WIDTHS = (4, 8, 16, 48)
+#: Fragments merged at a time.
+ROWS = 4096
 #: The rank of a pair that is not merged.
 NEVER = 1 << 30
 #: Entries of a look-up table; a full one becomes the older half, from which those in use come back.
-TABLE = 300_000
+TABLE = 150_000
 #: Pieces from this length on are not remembered.
 LONG_PIECE = 256
 #: Characters of texts that go into one record batch of ids.
@@ -64,14 +74,17 @@ def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-class _Known(dict):
-    """Ids of known pieces; what is looked up in vain is noted."""
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``values`` at ``starts`` end to end, and where each begins and the last ends."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
-    def __init__(self) -> None:
-        self.missing: list[str] = []
 
-    def __missing__(self, piece: str) -> None:
-        self.missing.append(piece)
+def _slices(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """An array of the slices of ``values`` between neighbouring ``bounds``."""
+    out = np.empty(len(bounds) - 1, object)
+    out[:] = [values[a:b] for a, b in pairwise(bounds.tolist())]
+    return out
 
 
 class Bpe:
@@ -102,14 +115,15 @@ class Bpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
         known = sorted((a << 32 | b, rank, made) for (a, b), (rank, made) in self.merges.items())
-        self.pairs, self.pair_rank, self.pair_made = (np.array(c) for c in zip(*known, strict=True))
+        pairs, ranks, made = zip(*known, strict=True)
+        self.pairs, self.pair_rank, self.pair_made = np.array(pairs), np.array(ranks, np.int32), np.array(made, np.int32)
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         for t in added:
             self.bytes_of[t["id"]] = t["content"].encode()
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.splitter = None
-        self.known = _Known()
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     # --- text to ids ---
@@ -135,36 +149,49 @@ class Bpe:
         wanted = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
         hit = (self.pairs[at] == wanted) & (left >= 0) & (right >= 0)
-        return np.where(hit, self.pair_rank[at], NEVER), self.pair_made[at]
+        return np.where(hit, self.pair_rank[at], np.int32(NEVER)), self.pair_made[at]
 
     def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
         """Merges the fragments in the rows of ``ids`` side by side, -1 behind their ends: in
-        each round every row merges its pair of lowest rank, leftmost first."""
-        out, rows = ids.copy(), np.arange(len(ids))
+        each round every row merges its pair of lowest rank, leftmost first. What is merged
+        into its left neighbour becomes -1."""
+        n, width = ids.shape
+        out, rows = np.empty_like(ids), np.arange(n)
+        wide = width + 1  # the last column stands beyond both ends
+        ids = np.pad(ids, ((0, 0), (0, 1)), constant_values=-1)
         rank, made = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel())
-        rank, made = rank.reshape(len(ids), -1), made.reshape(len(ids), -1)
-        place = np.arange(ids.shape[1])
-        while len(rows):
-            at = rank.argmin(1)
-            some = np.arange(len(rows))
-            going = rank[some, at] != NEVER
-            if not going.all():
-                out[rows[~going]] = ids[~going]
-                rows, ids, rank, made, at = rows[going], ids[going], rank[going], made[going], at[going]
-                some = some[: len(rows)]
-                if not len(rows):
+        rank, made = (np.pad(x.reshape(n, width), ((0, 0), (0, 1)), constant_values=NEVER) for x in (rank, made))
+        after = np.tile(np.append(np.arange(1, wide, dtype=np.int32), width), (n, 1))
+        before = np.tile(np.append(width, np.arange(width, dtype=np.int32)), (n, 1)).astype(np.int32)
+        while True:
+            flat_ids, flat_rank, flat_made, flat_after, flat_before = (
+                x.reshape(-1) for x in (ids, rank, made, after, before)
+            )
+            row = np.arange(len(rows)) * wide
+            while True:
+                at = row + rank.argmin(1)
+                going = flat_rank[at] != NEVER
+                many = np.count_nonzero(going)
+                if many < 0.6 * len(rows):
                     break
-            ids[some, at] = made[some, at]
-            moved = place + (place > at[:, None])
-            ids = np.take_along_axis(np.pad(ids, ((0, 0), (0, 1)), constant_values=-1), moved, 1)
-            pairs = np.pad(rank, ((0, 0), (0, 1)), constant_values=NEVER), np.pad(made, ((0, 0), (0, 1)))
-            moved = moved[:, :-1]
-            rank, made = (np.take_along_axis(p, moved, 1) for p in pairs)
-            for first in (at - 1, at):
-                ok = (first >= 0) & (first < rank.shape[1])
-                r, c = some[ok], first[ok]
-                rank[r, c], made[r, c] = self._ranks(ids[r, c], ids[r, c + 1])
-        return out
+                mine = row
+                if many < len(rows):
+                    at, mine = at[going], row[going]
+                gone = mine + flat_after[at]
+                following = flat_after[gone]
+                next_, last = mine + following, mine + flat_before[at]
+                flat_ids[at], flat_ids[gone], flat_rank[gone] = flat_made[at], -1, NEVER
+                flat_after[at], flat_before[next_] = following, at - mine
+                middle = flat_ids[at]
+                ranks, results = self._ranks(
+                    np.concatenate([flat_ids[last], middle]), np.concatenate([middle, flat_ids[next_]])
+                )
+                flat_rank[last], flat_rank[at] = ranks[:many], ranks[many:]
+                flat_made[last], flat_made[at] = results[:many], results[many:]
+            out[rows[~going]] = ids[~going, :-1]
+            if not many:
+                return out
+            rows, ids, rank, made, after, before = (x[going] for x in (rows, ids, rank, made, after, before))
 
     def merged_long(self, fragment: bytes) -> list[int]:
         """One fragment in O(n log n): a heap of pairs over a linked list."""
@@ -209,7 +236,8 @@ class Bpe:
                 spots = starts[mine][:, None] + place
                 inside = place < sizes[mine][:, None]
                 rows = np.where(inside, ids[np.minimum(spots, len(ids) - 1)], -1)
-                ids[spots[inside]] = self._merge_rows(rows)[inside]
+                merged = [self._merge_rows(rows[i : i + ROWS]) for i in range(0, len(rows), ROWS)]
+                ids[spots[inside]] = np.concatenate(merged)[inside]
         for i in np.flatnonzero(sizes > WIDTHS[-1]):
             start, end = starts[i], starts[i] + sizes[i]
             merged = self.merged_long(data[start:end].tobytes())
@@ -220,39 +248,72 @@ class Bpe:
         bounds = [0, *(4 * np.cumsum(kept)[ends - 1]).tolist()]
         return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Adds pieces that are not known."""
-        found = {p: self.older[p] for p in pieces if p in self.older}
-        found |= {p: self.special[p] for p in pieces if p in self.special}
-        new = list(pieces.difference(found))
+    def _learn(self, pieces: Sequence[str]) -> list[bytes]:
+        """Ids of pieces that are not in the younger table."""
+        found = [self.older.get(p) or self.special.get(p) for p in pieces]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            for i, ids in zip(new, self.encode_pieces([pieces[i] for i in new]), strict=True):
+                found[i] = ids
+        self.known.update((p, ids) for p, ids in zip(pieces, found, strict=True) if len(p) < LONG_PIECE)
+        return found
+
+    def _ids_of(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, the place in them of each piece, its number of ids). Each different piece is
+        looked up once, and those not known are merged together."""
+        if len(self.known) > TABLE:
+            self.known, self.older = {}, self.known
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            found.update(zip(new, self.encode_pieces(new), strict=True))
-        self.known.update(found)
+            for i, ids in zip(new, self._learn([distinct[i] for i in new]), strict=True):
+                found[i] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        return np.frombuffer(b"".join(found), "<u4"), (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+
+    def _by_word(self, text: str) -> bool:
+        """Whether cutting the text before its spaces leaves its pieces whole."""
+        if UNUSUAL.search(text) or INNER_SPACE.search(text):
+            return False
+        return self.specials is None or not self.specials.search(text)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """Ids of each text. Pieces met first in any of the texts are merged together."""
-        if len(self.known) > TABLE:
-            self.known, self.older = _Known(), self.known
-        get, missing = self.known.__getitem__, self.known.missing
-        split = [self.pieces(t) for t in texts]
-        found, behind = [], []
-        for i, pieces in enumerate(split):
-            before = len(missing)
-            found.append(list(map(get, pieces)))
-            if len(missing) > before:
-                behind.append(i)
-        if behind:
-            new = set(missing)
-            missing.clear()
-            self._learn(new)
-            for i in behind:
-                found[i] = list(map(get, split[i]))
-            for p in new:
-                if len(p) >= LONG_PIECE:
-                    del self.known[p]
-        return [np.frombuffer(b"".join(f), "<u4") for f in found]
-
-    def of_each(self, texts: Sequence[str], chars: int = 1 << 19) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        by_word = np.fromiter(map(self._by_word, texts), bool, len(texts))
+        mine = [t for t, b in zip(texts, by_word, strict=True) if b]
+        cut = pc.split_pattern(pa.array(mine, pa.large_string()), " ")
+        bounds, coded = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # Side by side, words that neither begin nor end with white space split as they do alone.
+        plain = [w != "" and not (w[0].isspace() or w[-1].isspace()) for w in words]
+        pieces = SPLIT.findall("".join([f" {w}" for w, p in zip(words, plain, strict=True) if p]))
+        heads = [i for i, p in enumerate(pieces) if p[0] == " "]
+        lists = [SPLIT.findall(f" {w}") for w, p in zip(words, plain, strict=True) if not p]
+        lists += [SPLIT.findall(t.partition(" ")[0]) for t in mine]  # no space before a first word
+        lists += [self.pieces(t) for t, b in zip(texts, by_word, strict=True) if not b]
+        ends = np.cumsum([len(pieces), *map(len, lists)])
+        for found in lists:
+            pieces += found
+        # A unit is a word, a first word or the whole of another text.
+        units = np.concatenate([np.array(heads, np.int64), ends])
+        ids, starts, sizes = self._ids_of(pieces)
+        ids, places = gathered(ids, starts, sizes)
+        places = places[units]
+        unit_of = np.empty(len(words), np.int64)
+        unit_of[np.argsort(~np.array(plain, bool), kind="stable")] = np.arange(len(words))
+        of_word = unit_of[coded.indices.to_numpy()]
+        of_word[bounds[:-1]] = np.arange(len(words), len(words) + len(mine))
+        flat, at = gathered(ids, places[of_word], np.diff(places)[of_word])
+        at = at[bounds]
+        out = np.empty(len(texts), object)
+        out[np.flatnonzero(by_word)] = _slices(flat, at)
+        out[np.flatnonzero(~by_word)] = _slices(ids, places[len(words) + len(mine) :])
+        return out.tolist()
+
+    def of_each(self, texts: Sequence[str], chars: int = 1 << 22) -> Iterator[np.ndarray]:
         """Ids of each text, worked on in groups of about ``chars`` characters."""
         for a, b in slices([len(t) + 1 for t in texts], chars):
             yield from self.encode(texts[a:b])

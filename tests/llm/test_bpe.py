@@ -47,6 +47,27 @@ def test_equal_to_the_library(bpe, tokenizer):
         assert bpe.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_texts_cut_at_spaces_equal_the_library(bpe, tokenizer):
+    rng = random.Random(5)
+    parts = [" ", " ", " ", "  ", "   ", "\n", "\n\n", " \n", "\t", "\xa0", "\u3000", "\u2003", "\x85", "a", "bc.", "it's", "12", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in bpe.encode(texts)] == expected
+
+
+def test_equal_pieces_are_looked_up_once(monkeypatch):
+    bpe, looked_up = Bpe(vocabulary()), []
+
+    class Counted(dict):
+        def get(self, piece):
+            looked_up.append(piece)
+            return super().get(piece)
+
+    bpe.known = Counted()
+    bpe.encode(["again and again, again and again"] * 50)
+    assert len(looked_up) == len(set(looked_up))
+
+
 def test_decode_of_any_ids(bpe, tokenizer):
     rng = random.Random(2)
     for _ in range(2000):
