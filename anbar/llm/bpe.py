@@ -313,7 +313,7 @@ class Bpe:
         out[np.flatnonzero(~by_word)] = _slices(ids, places[len(words) + len(mine) :])
         return out.tolist()
 
-    def of_each(self, texts: Sequence[str], chars: int = 1 << 22) -> Iterator[np.ndarray]:
+    def of_each(self, texts: Sequence[str], chars: int = BATCH_CHARS) -> Iterator[np.ndarray]:
         """Ids of each text, worked on in groups of about ``chars`` characters."""
         for a, b in slices([len(t) + 1 for t in texts], chars):
             yield from self.encode(texts[a:b])

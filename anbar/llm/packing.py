@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anbar.llm.bpe import loaded as token_ids
-from anbar.llm.common import table, vocabulary, written
+from anbar.llm.common import table, text_batches, vocabulary, written
 
 LENGTH = 2048
 
@@ -160,8 +160,9 @@ def pieces(
                 offsets = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(offsets, np.concatenate(kept)))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(docs[key], docs[text]).mapInArrow(cut, schema)
+    return text_batches(docs).select(docs[key], docs[text]).mapInArrow(cut, schema)
 
 
 def place(cut: DataFrame, size: int = LENGTH) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from anbar.llm.common import per_text
 from anbar.llm.quality import FEATURES, judged, learn_rules, op6_quality_rules, repeated_words
 
 SF = "/root/testdata/sf0.01"
@@ -80,3 +81,13 @@ def test_bounded_fit(spark):
     bounded = judged(docs, labels, fit_rows=150).where("not base_failed")
     wrong = bounded.join(labels, "doc_id").where("kept <> (quality = 1)")
     assert wrong.count() <= 5
+
+
+def test_batches_end_by_their_bytes(spark):
+    docs = spark.range(0, 24, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text")
+
+    def batch_chars(texts):
+        return [(sum(map(len, texts)),)] * len(texts)
+
+    found = per_text(docs, "doc_id", "text", "chars long", batch_chars).collect()
+    assert len(found) == 24 and max(r["chars"] for r in found) <= 6_000_000
