@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anbar.llm.common import table, vocabulary
+from anbar.llm.common import table, text_batches, vocabulary
 
 #: How a byte-level vocabulary splits a text into pieces.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -358,7 +358,7 @@ def encode(
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*[docs[c] for c in carried], docs[text]).mapInArrow(encoded, schema)
+    return text_batches(docs).select(*[docs[c] for c in carried], docs[text]).mapInArrow(encoded, schema)
 
 
 def decode(
@@ -373,9 +373,11 @@ def decode(
         bpe = loaded(tokenizer)
         for batch in batches:
             rows = batch.column(batch.num_columns - 1)
-            sizes = [n or 0 for n in rows.value_lengths().to_pylist()]
+            sizes = rows.value_lengths().fill_null(0).to_pylist()
+            flat = rows.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *sizes]).tolist()
             for a, b in slices([n + 1 for n in sizes], BATCH_CHARS):
-                texts = [bpe.decode(r or ()) for r in rows.slice(a, b - a).to_pylist()]
+                texts = [bpe.decode(flat[x:y].tolist()) for x, y in pairwise(ends[a : b + 1])]
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(carried))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=schema.names)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -127,6 +128,40 @@ def test_query(spark, tokenizer):
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == expected
 
 
+def test_ids_are_decoded_without_an_object_per_token(spark, tokenizer, monkeypatch):
+    def refused(self):
+        raise AssertionError("lists of ids are read as arrays")
+
+    texts = ["one two", None, "", "été <|endoftext|>", "x" * 999]
+    columns = [pa.array([1, 2, 3, 4, 5]), pa.array([tokenizer.encode(t).ids if t is not None else None for t in texts], pa.list_(pa.int32()))]
+    given = pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids"]).slice(1)
+    task = []
+    empty = spark.createDataFrame([], "doc_id long, ids array<int>")
+    monkeypatch.setattr(type(empty), "mapInArrow", lambda self, f, schema: task.append(f))
+    decode(empty, vocabulary())
+
+    class Rows:
+        num_columns = 2
+
+        def column(self, i):
+            return Column(given.column(1)) if i else given.column(0)
+
+    class Column:
+        to_pylist = refused
+
+        def __init__(self, ids):
+            self.ids = ids
+
+        def __getattr__(self, name):
+            return getattr(self.ids, name)
+
+        def slice(self, *at):
+            return Column(self.ids.slice(*at))
+
+    out = next(task[0](iter([Rows()])))
+    assert out.column(1).to_pylist() == [t or "" for t in texts[1:]]
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError, match="byte-level"):
         Bpe(vocabulary("word_bpe_49k.json"))
