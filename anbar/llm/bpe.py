@@ -45,12 +45,14 @@ WIDTHS = (4, 8, 16, 48)
 ROWS = 4096
 #: The rank of a pair that is not merged.
 NEVER = 1 << 30
+#: What stands behind the end of a fragment in place of a byte.
+NO_BYTE = 256
 #: Entries of a look-up table; a full one becomes the older half, from which those in use come back.
 TABLE = 150_000
 #: Pieces from this length on are not remembered.
 LONG_PIECE = 256
 #: Characters of texts that go into one record batch of ids.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 21
 
 
 def byte_letters() -> dict[str, int]:
@@ -117,13 +119,18 @@ class Bpe:
         known = sorted((a << 32 | b, rank, made) for (a, b), (rank, made) in self.merges.items())
         pairs, ranks, made = zip(*known, strict=True)
         self.pairs, self.pair_rank, self.pair_made = np.array(pairs), np.array(ranks, np.int32), np.array(made, np.int32)
+        #: By pair of bytes, of which NO_BYTE may be one: the id of the first, rank and result of their merge.
+        sides = [*self.byte_ids, -1]
+        pairs_of_bytes = [self.merges.get((a, b), (NEVER, -1)) for a in sides for b in sides]
+        self.byte_rank, self.byte_made = np.array(pairs_of_bytes, np.int32).T.copy()
+        self.byte_id = np.repeat(np.array(sides, np.int32), len(sides))
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         for t in added:
             self.bytes_of[t["id"]] = t["content"].encode()
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.splitter = None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = dict(self.special)
         self.older: dict[str, bytes] = {}
 
     # --- text to ids ---
@@ -151,16 +158,16 @@ class Bpe:
         hit = (self.pairs[at] == wanted) & (left >= 0) & (right >= 0)
         return np.where(hit, self.pair_rank[at], np.int32(NEVER)), self.pair_made[at]
 
-    def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
-        """Merges the fragments in the rows of ``ids`` side by side, -1 behind their ends: in
-        each round every row merges its pair of lowest rank, leftmost first. What is merged
-        into its left neighbour becomes -1."""
-        n, width = ids.shape
-        out, rows = np.empty_like(ids), np.arange(n)
+    def _merge_rows(self, letters: np.ndarray) -> np.ndarray:
+        """The ids of the fragments in the rows of ``letters``, NO_BYTE behind their ends, merged
+        side by side: in each round every row merges its pair of lowest rank, leftmost first.
+        What is merged into its left neighbour becomes -1."""
+        n, width = letters.shape
+        out, rows = np.empty((n, width), np.int32), np.arange(n)
         wide = width + 1  # the last column stands beyond both ends
-        ids = np.pad(ids, ((0, 0), (0, 1)), constant_values=-1)
-        rank, made = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel())
-        rank, made = (np.pad(x.reshape(n, width), ((0, 0), (0, 1)), constant_values=NEVER) for x in (rank, made))
+        letters = np.pad(letters, ((0, 0), (0, 2)), constant_values=NO_BYTE)
+        pair = np.ascontiguousarray(letters[:, :-1] * np.int32(NO_BYTE + 1) + letters[:, 1:])
+        ids, rank, made = (x.take(pair) for x in (self.byte_id, self.byte_rank, self.byte_made))
         after = np.tile(np.append(np.arange(1, wide, dtype=np.int32), width), (n, 1))
         before = np.tile(np.append(width, np.arange(width, dtype=np.int32)), (n, 1)).astype(np.int32)
         while True:
@@ -235,7 +242,7 @@ class Bpe:
                 place = np.arange(high)
                 spots = starts[mine][:, None] + place
                 inside = place < sizes[mine][:, None]
-                rows = np.where(inside, ids[np.minimum(spots, len(ids) - 1)], -1)
+                rows = np.where(inside, data[np.minimum(spots, len(ids) - 1)], np.int16(NO_BYTE))
                 merged = [self._merge_rows(rows[i : i + ROWS]) for i in range(0, len(rows), ROWS)]
                 ids[spots[inside]] = np.concatenate(merged)[inside]
         for i in np.flatnonzero(sizes > WIDTHS[-1]):
@@ -250,19 +257,21 @@ class Bpe:
 
     def _learn(self, pieces: Sequence[str]) -> list[bytes]:
         """Ids of pieces that are not in the younger table."""
-        found = [self.older.get(p) or self.special.get(p) for p in pieces]
+        found = list(map(self.older.get, pieces))
         new = [i for i, ids in enumerate(found) if ids is None]
         if new:
             for i, ids in zip(new, self.encode_pieces([pieces[i] for i in new]), strict=True):
                 found[i] = ids
-        self.known.update((p, ids) for p, ids in zip(pieces, found, strict=True) if len(p) < LONG_PIECE)
+        self.known.update(zip(pieces, found, strict=True))
+        for p in [p for p in pieces if len(p) >= LONG_PIECE]:
+            del self.known[p]
         return found
 
     def _ids_of(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, the place in them of each piece, its number of ids). Each different piece is
         looked up once, and those not known are merged together."""
         if len(self.known) > TABLE:
-            self.known, self.older = {}, self.known
+            self.known, self.older = dict(self.special), self.known
         coded = pa.array(pieces, pa.large_string()).dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, distinct))

@@ -69,6 +69,17 @@ def test_equal_pieces_are_looked_up_once(monkeypatch):
     assert len(looked_up) == len(set(looked_up))
 
 
+def test_pairs_of_bytes_are_not_searched_for(monkeypatch):
+    bpe, asked = Bpe(vocabulary()), []
+    ranks = bpe._ranks
+    monkeypatch.setattr(bpe, "_ranks", lambda left, right: asked.append(len(left)) or ranks(left, right))
+    rng = random.Random(3)
+    words = list({"".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 40))) for _ in range(500)})
+    ids = bpe.encode_pieces(words)
+    merges = sum(map(len, words)) - sum(map(len, ids)) // 4
+    assert sum(asked) == 2 * merges  # a merge makes two new pairs
+
+
 def test_decode_of_any_ids(bpe, tokenizer):
     rng = random.Random(2)
     for _ in range(2000):
