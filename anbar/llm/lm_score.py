@@ -45,10 +45,30 @@ def _probabilities(scores: np.ndarray) -> np.ndarray:
     """The softmax of each row, in place."""
     np.clip(scores, -60, 60, out=scores)
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
+    scores /= scores @ np.ones((scores.shape[1], 1), scores.dtype)
     return scores
 
 
+def _slots(group: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where each row goes in a table with as many places for each group, and their number."""
+    order, sizes = np.argsort(group.astype(np.uint8), kind="stable"), np.bincount(group, minlength=GROUPS)
+    most = int(sizes.max())
+    slot = np.empty(len(group), np.int64)
+    slot[order] = np.arange(len(group)) + np.repeat(np.arange(GROUPS) * most - np.cumsum(sizes) + sizes, sizes)
+    return slot, most
+
+
+def _dealt(rows: np.ndarray, slot: np.ndarray, most: int) -> np.ndarray:
+    """The rows of each group, and zeros in the places left."""
+    out = np.zeros((GROUPS * most, rows.shape[1]), rows.dtype)
+    out[slot] = rows
+    return out.reshape(GROUPS, most, -1)
+
+
+def _taken(dealt: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return dealt.reshape(-1, dealt.shape[2]).take(slot, axis=0)
+
+
 class Network(NamedTuple):
     """Word vectors (the last row pads), a factor per place, and the two levels of the output.
 
@@ -88,7 +108,7 @@ class Network(NamedTuple):
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = np.zeros((len(context), WIDTH), np.float32)
         for j in range(2 * SIDE):
-            total += self.words[context[:, j]] * self.places[j]
+            total += self.words.take(context[:, j], axis=0) * self.places[j]
         return np.tanh(total)
 
     def _spans(self, wanted: np.ndarray) -> list[tuple[int, int, int]]:
@@ -115,30 +135,32 @@ class Network(NamedTuple):
     def learn(self, context: np.ndarray, wanted: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the cross-entropy of a small batch."""
         n = len(wanted)
-        order = np.argsort((wanted % GROUPS).astype(np.uint8), kind="stable")
-        context, wanted, row = context[order], wanted[order], np.arange(n)
-        vectors = self.words[context]
+        group, row = wanted % GROUPS, np.arange(n)
+        slot, most = _slots(group)
+        vectors = self.words.take(context, axis=0)
         hidden = np.tanh(np.einsum("njw,jw->nw", vectors, self.places))
-        groups, members = self._levels(hidden, wanted)
-        groups[row, wanted % GROUPS] -= 1
+        dealt = _dealt(hidden, slot, most)  # so that one call has the products of all groups
+        groups = _probabilities(hidden @ self.group_out + self.group_bias)
+        members = _probabilities(_taken(dealt @ self.member_out, slot) + self.member_bias.take(group, axis=0))
+        groups[row, group] -= 1
         members[row, wanted // GROUPS] -= 1
-        back = groups @ self.group_out.T
+        errors = _dealt(members, slot, most)
+        back = groups @ self.group_out.T + _taken(errors @ self.member_out.transpose(0, 2, 1), slot)
         self.group_out[...] -= rate / n * (hidden.T @ groups)
         self.group_bias[...] -= rate / n * groups.sum(axis=0)
-        for g, at, end in self._spans(wanted):
-            mine = members[at:end]
-            back[at:end] += mine @ self.member_out[g].T
-            self.member_out[g] -= rate / n * (hidden[at:end].T @ mine)
-            self.member_bias[g] -= rate / n * mine.sum(axis=0)
+        self.member_out[...] -= rate / n * (dealt.transpose(0, 2, 1) @ errors)
+        self.member_bias[...] -= rate / n * (np.ones((1, most), np.float32) @ errors)[:, 0]
         back *= 1 - hidden * hidden
         # A word is in few contexts of a batch, so its vector gets the step of each, unaveraged.
-        steps = (back[:, None, :] * self.places).reshape(-1, WIDTH)
-        self.places[...] -= rate / n * np.einsum("nw,njw->jw", back, vectors)
         rows = context.ravel().astype(np.uint16)
         order = np.argsort(rows, kind="stable")
+        steps = back.take(order // (2 * SIDE), axis=0) * self.places.take(order % (2 * SIDE), axis=0)
+        self.places[...] -= rate / n * np.einsum("nw,njw->jw", back, vectors)
         rows = rows[order]
         heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        self.words[rows[heads]] -= rate / 5 * np.add.reduceat(steps[order], heads, axis=0)
+        # Two numbers at a time, as one complex number.
+        sums = np.add.reduceat(steps.view(np.complex64), heads, axis=0).view(np.float32)
+        self.words[rows[heads]] -= rate / 5 * sums
 
 
 class Vocabulary(NamedTuple):
@@ -191,16 +213,17 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def contexts(buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The words around each word, from its own text only; PAD beyond its ends."""
-    ends = np.cumsum(counts)
-    first = np.repeat(ends - counts, counts)
-    last = np.repeat(ends, counts)
-    at = np.arange(len(buckets))
-    out = np.full((len(buckets), 2 * SIDE), PAD, np.int64)
+def contexts(buckets: np.ndarray, counts: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+    """The words around each word, or each of those ``chosen`` by place, from its own text only;
+    PAD beyond its ends."""
+    at = np.arange(len(buckets)) + SIDE * np.repeat(np.arange(1, len(counts) + 1), counts)
+    apart = np.full(len(buckets) + SIDE * (len(counts) + 1), PAD, np.int64)
+    apart[at] = buckets
+    if chosen is not None:
+        at = at[chosen]
+    out = np.empty((len(at), 2 * SIDE), np.int64)
     for j, step in enumerate(PLACES):
-        inside = (at + step >= first) & (at + step < last)
-        out[inside, j] = buckets[at[inside] + step]
+        out[:, j] = apart[at + step]
     return out
 
 
@@ -273,7 +296,7 @@ def train_on(
             continue
         rng.shuffle(chosen)
         buckets = bucket_of(words)
-        context = contexts(buckets, counts)[chosen]
+        context = contexts(buckets, counts, chosen)
         wanted = vocabulary.class_of[buckets[chosen]]
         for at in range(0, len(chosen), batch):
             network.learn(context[at : at + batch], wanted[at : at + batch], rate)

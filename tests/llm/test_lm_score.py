@@ -54,6 +54,39 @@ def test_learning_follows_the_gradient():
     assert network.log_classes(context, wanted).mean() > before + 1
 
 
+def test_a_step_takes_all_groups_at_once_and_equals_a_plain_one(monkeypatch):
+    network, vocabulary = small_model()
+    rng = np.random.default_rng(4)
+    context = rng.integers(0, 60, (50, 4))
+    context[:9, 0] = lm.PAD
+    wanted = vocabulary.class_of[rng.integers(0, lm.BUCKETS, 50)]
+    wanted = wanted[wanted % lm.GROUPS != 3]  # a group without a row
+    context, n, rate = context[: len(wanted)], len(wanted), 0.5
+    plain = [x.astype(float) for x in network]
+    gradient = [np.zeros_like(x) for x in plain]
+    words, places, group_out, group_bias, member_out, member_bias = plain
+    for around, c in zip(context, wanted, strict=True):
+        member, group = divmod(c, lm.GROUPS)
+        h = np.tanh((words[around] * places).sum(axis=0))
+        by_group, by_member = h @ group_out + group_bias, h @ member_out[group] + member_bias[group]
+        by_group, by_member = (np.exp(z) / np.exp(z).sum() for z in (by_group, by_member))
+        by_group[group] -= 1
+        by_member[member] -= 1
+        back = (group_out @ by_group + member_out[group] @ by_member) * (1 - h * h)
+        np.add.at(gradient[0], around, back * places * n / 5)
+        gradient[1] += back * words[around]
+        gradient[2] += np.outer(h, by_group)
+        gradient[3] += by_group
+        gradient[4][group] += np.outer(h, by_member)
+        gradient[5][group] += by_member
+    before = [x.copy() for x in network]
+    monkeypatch.setattr(lm.Network, "_spans", lambda *_: pytest.fail("the groups are walked one by one"))
+    network.learn(context, wanted, rate)
+    for now, then, x, g in zip(network, before, plain, gradient, strict=True):
+        assert not np.array_equal(now, then)
+        assert np.abs(now - (x - rate / n * g)).max() < 1e-5
+
+
 def test_held_out_documents_are_better_than_without_context(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
