@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anbar.llm.bpe import loaded as token_ids
-from anbar.llm.common import table, text_batches, vocabulary, written
+from anbar.llm.common import short_reads, table, text_batches, vocabulary, written
 
 LENGTH = 2048
+#: Rows of counts (tasks x lengths) up to which they are broadcast to the pieces.
+BROADCAST_ROWS = 500_000
 
 # --- the packing plan -------------------------------------------------------
 
@@ -165,13 +167,17 @@ def pieces(
     return text_batches(docs).select(docs[key], docs[text]).mapInArrow(cut, schema)
 
 
-def place(cut: DataFrame, size: int = LENGTH) -> DataFrame:
+def place(cut: DataFrame, size: int = LENGTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to written ``pieces``."""
-    counts = written(cut.groupBy("part", "length").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # Counted twice, from two columns: a written table of counts is a file per shuffle partition.
+    counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
+    by_length = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).collect()
+    histogram = {r["length"]: r["n"] for r in by_length}
     runs = plan(histogram, size)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sum(r["parts"] for r in by_length) <= broadcast_rows:
+        bases = F.broadcast(bases)
     numbered = cut.join(bases, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     numbered = numbered.drop("base", "part")
     table_of_runs = np.array(sorted(runs) or [Run(0, 0, 0, 0, 1, 0)], dtype=np.int64)
@@ -207,7 +213,9 @@ def pack(
     Repeated rows are packed as often as they occur; an empty table gives no rows. Sequence ids
     run from 0 without gaps; pieces fill a sequence without gaps from offset 0.
     """
-    return place(written(pieces(docs, tokenizer, key, text, size, keep_ids)), size)
+    with short_reads(docs.sparkSession):
+        cut = written(pieces(docs, tokenizer, key, text, size, keep_ids))
+    return place(cut, size)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from anbar.llm.packing import Tree, op3_packing, pack, plan, sequences, token_ids, vocabulary
+from anbar.llm import packing
+from anbar.llm.packing import Tree, op3_packing, pack, pieces, place, plan, sequences, token_ids, vocabulary, written
 
 
 def best_fit(lengths, size):
@@ -118,3 +119,45 @@ def test_edges_and_round_trip(spark):
     assert pack(docs.limit(0), vocabulary()).count() == 0
     twice = pack(docs.where("doc_id = 5").unionAll(docs.where("doc_id = 5")), vocabulary()).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in twice}) == 2
+
+
+def test_small_counts_make_no_file_per_shuffle_partition(spark, monkeypatch):
+    kept = {
+        "spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k) for k in kept}
+    tables = []
+    monkeypatch.setattr(packing, "written", lambda df: tables.append(written(df)) or tables[-1])
+    docs = spark.createDataFrame([(i, "a " * (i % 90)) for i in range(400)], "doc_id long, text string")
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        packed = pack(docs.coalesce(2), vocabulary(), size=50)
+        assert packed.rdd.getNumPartitions() <= 2 and len(tables) == 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_counts_that_are_not_broadcast_place_alike(spark):
+    texts = [(i, "a " * (i % 90)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    cut = written(pieces(docs, vocabulary(), size=50))
+    rows = place(cut, 50, broadcast_rows=0).collect()
+    check(rows, texts, 50)
+    assert sorted(rows) == sorted(place(cut, 50).collect())
+
+
+def test_texts_are_read_in_short_batches(spark, monkeypatch):
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+    monkeypatch.setattr(packing, "written", lambda df: seen.append(spark.conf.get(key)) or written(df))
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    pack(docs, vocabulary()).collect()
+    assert int(seen[0]) <= 256 and spark.conf.get(key) == "4096"
+    spark.conf.set(key, "999")
+    try:
+        pack(docs, vocabulary()).collect()
+        assert seen[1:] == ["999"] and spark.conf.get(key) == "999"
+    finally:
+        spark.conf.unset(key)
